@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, line_dedup, sharding
+from keyloom.llm import decontaminate, language_id, line_dedup, sentencepiece_codec, sharding, topk_search
 from keyloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_model() -> bytes:
+    """The tokenizer that op3 and the pipeline use; other callers of the operator pass the model file of their choice."""
+    import public_tokenizers
+
+    return sentencepiece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     n_hit = decontaminate.hit_words(F.col("spans"))
@@ -39,13 +50,30 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def crc_rest(mod: int):
+    """crc32(doc_id as text) mod `mod`."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(F.coalesce(crc_rest(3), F.lit(0)) != 1))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (F.coalesce(crc_rest(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.quantize(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.top_k(rows.filter(F.col("id") % 100 == 0), rows, k=10)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op4_benchmark_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_benchmark_decontamination, op6_language_id, op8_topk_search, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,5 +105,15 @@ FROM m GROUP BY doc_id
 """
 
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op8_topk_search": OP8_SQL, "op10_line_dedup": OP10_SQL}
