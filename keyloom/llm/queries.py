@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, language_id, line_dedup, sentencepiece_codec, sharding, topk_search
+from keyloom.llm import decontaminate, language_id, line_dedup, quality, sentencepiece_codec, sharding, topk_search, toxicity
 from keyloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def crc_rest(mod: int):
+    """crc32(doc_id as text) mod `mod`."""
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
     return out.select(
@@ -33,6 +38,21 @@ def piece_model() -> bytes:
     return sentencepiece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Labelled documents to learn from: crc32(doc_id as text) mod 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).filter(F.col(label).isNotNull() & (crc_rest(5) != 0))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def _scored(out: DataFrame, least: float) -> DataFrame:
+    return out.select("doc_id", (F.coalesce(crc_rest(5), F.lit(1)) == 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = quality.learn(_labelled(spark, sf_dir, "quality"))
+    return _scored(quality.score(table(spark, sf_dir, "documents"), net), 0.3)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -50,9 +70,9 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-def crc_rest(mod: int):
-    """crc32(doc_id as text) mod `mod`."""
-    return F.crc32(F.col("doc_id").cast("string")) % mod
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(_labelled(spark, sf_dir, "toxic"))
+    return _scored(toxicity.tag(table(spark, sf_dir, "documents"), model), 0.5)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +93,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_benchmark_decontamination, op6_language_id, op8_topk_search, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_sentencepiece, op4_benchmark_decontamination, op5_toxicity, op6_language_id, op8_topk_search, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
