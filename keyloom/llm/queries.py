@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, language_id, line_dedup, quality, sentencepiece_codec, sharding, topk_search, toxicity
+from keyloom.llm import decontaminate, jaccard_join, language_id, line_dedup, quality, sentencepiece_codec, sharding, topk_search, toxicity
 from keyloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(crc_rest(3), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk_search.quantize(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk_search.top_k(rows.filter(F.col("id") % 100 == 0), rows, k=10)
@@ -93,7 +97,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_sentencepiece, op4_benchmark_decontamination, op5_toxicity, op6_language_id, op8_topk_search, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_sentencepiece, op4_benchmark_decontamination, op5_toxicity, op6_language_id, op7_jaccard_join, op8_topk_search, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,6 +129,18 @@ FROM m GROUP BY doc_id
 """
 
 
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM e JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 OP8_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -136,4 +152,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op8_topk_search": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_topk_search": OP8_SQL, "op10_line_dedup": OP10_SQL}
