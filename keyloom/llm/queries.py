@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, jaccard_join, language_id, line_dedup, quality, sentencepiece_codec, sharding, topk_search, toxicity
+from keyloom.llm import decontaminate, html_extract, jaccard_join, language_id, line_dedup, quality, sentencepiece_codec, sharding, topk_search, toxicity
 from keyloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,13 +91,18 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(rows.filter(F.col("id") % 100 == 0), rows, k=10)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_texts(pages, html_extract.learn(pages))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_sentencepiece, op4_benchmark_decontamination, op5_toxicity, op6_language_id, op7_jaccard_join, op8_topk_search, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_sentencepiece, op4_benchmark_decontamination, op5_toxicity, op6_language_id, op7_jaccard_join, op8_topk_search, op9_html_extraction, op10_line_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
