@@ -1,0 +1,586 @@
+"""Named databases in a folder: change-log files, a manifest swapped atomically, transactions in two phases, recovery.
+
+    store = Store(spark, path)
+    db = store.open("orders")                       # kinds: plain, replicated, confluence, confluence_replicated
+    with db.begin() as t:
+        t.put(df)                                   # key BINARY, value BINARY
+        t.delete(keys)
+    db.snapshot()
+
+Layout of a database: `log/<source>-<txn>/` Parquet of one committed or prepared transaction, `snapshot/<n>/` compacted
+rows, `manifest.json`. The manifest names everything that readers see; replacing it is the commit. Data files are written
+and read by Spark only; the small manifest goes through Hadoop's file system, so any store that Spark reaches will do, as
+long as its rename is atomic.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import uuid
+from contextlib import suppress
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keyloom.errors import KeyTooBig, NotSupported, NoValidPosition, TransactionActive, TypeMismatch, WalError, WrongValue
+from keyloom.functions.aspects import Aspect
+from keyloom.functions.codec import MAX_NAME_BYTES, checked, is_big
+from keyloom.operators import history, merging, reads, replication
+
+KINDS = {"plain": 0, "replicated": 1, "confluence": 4, "confluence_replicated": 5}
+LOG = T.StructType(
+    [
+        T.StructField("db", T.StringType()), T.StructField("source", T.StringType()), T.StructField("txn_id", T.LongType()), T.StructField("seq", T.LongType()),
+        T.StructField("op", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()), T.StructField("ts", T.TimestampType()), T.StructField("meta", T.BinaryType()),
+    ]
+)
+KV = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
+DELETIONS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("deleted_at", T.TimestampType()), T.StructField("meta", T.BinaryType())])
+TXN = T.StructType([T.StructField(n, k) for n, k in (("db", T.StringType()), ("source", T.StringType()), ("txn_id", T.LongType()), ("state", T.StringType()), ("origin", T.StringType()), ("started", T.DoubleType()), ("ended", T.DoubleType()))])
+
+
+class Files:
+    """Small-file operations through Hadoop's file system."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.root = root.rstrip("/")
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}" if path else self.root)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def swap(self, path: str, text: str) -> None:
+        """Replace a file by one rename."""
+        fs, p = self._at(path)
+        _, fresh = self._at(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(fresh, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        mode = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        array = self.jvm.java.lang.reflect.Array.newInstance(mode.getClass(), 1)
+        self.jvm.java.lang.reflect.Array.set(array, 0, mode)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.conf).rename(fs.makeQualified(fresh), fs.makeQualified(p), array)
+
+    def create_new(self, path: str, text: str) -> bool:
+        """Create a file unless it exists."""
+        fs, p = self._at(path)
+        try:
+            out = fs.create(p, False)
+        except Exception:
+            return False
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def size(self, path: str = "") -> int:
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+class Store:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.files = Files(spark, self.path)
+
+    @classmethod
+    def in_memory(cls, spark: SparkSession) -> Store:
+        """A store in a folder of its own under the session's checkpoint folder or a temporary one."""
+        import tempfile
+
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyloom-")
+        return cls(spark, f"{base}/store-{uuid.uuid4().hex}")
+
+    def open(self, name: str, kind: str = "plain", aspect: Aspect | None = None) -> Db:
+        if kind not in KINDS:
+            raise WrongValue(f"no such kind: {kind}")
+        if len(name.encode()) >= MAX_NAME_BYTES:
+            raise KeyTooBig("database name")
+        if self.files.exists(f"{name}/manifest.json"):
+            db = Db(self, name, aspect)
+            if db.manifest["kind"] != kind:
+                raise TypeMismatch(f"{name} is {db.manifest['kind']}")
+            db.sanitize()
+            return db
+        fresh = {"kind": kind, "version": 0, "next_txn": 1, "base": None, "base_txn": 0, "deletions": None, "retention": replication.RETENTION_SECONDS, "txns": []}
+        self.files.create_new(f"{name}/manifest.json", json.dumps(fresh))
+        return Db(self, name, aspect)
+
+    def drop(self, name: str, kind: str = "plain") -> None:
+        if not self.files.exists(f"{name}/manifest.json"):
+            raise WrongValue("database does not exist.")
+        db = Db(self, name)
+        if db.manifest["kind"] != kind:
+            raise TypeMismatch(f"{name} is {db.manifest['kind']}")
+        if db.transaction_active():
+            raise TransactionActive(name)
+        self.files.delete(name)
+
+    def list_dbs(self) -> DataFrame:
+        rows = [(n, KINDS[json.loads(self.files.read(f"{n}/manifest.json"))["kind"]]) for n in self.files.names("") if self.files.exists(f"{n}/manifest.json")]
+        return self.spark.createDataFrame(rows, "name string, type_id int")
+
+    def file_size(self) -> int:
+        return self.files.size()
+
+    def export_db(self, name: str, path: str) -> None:
+        Db(self, name).snapshot().write.mode("overwrite").parquet(path)
+
+    def import_db(self, name: str, path: str, kind: str = "plain") -> Db:
+        rows = self.spark.read.parquet(path)
+        if not {"key", "value"} <= set(rows.columns):
+            raise WrongValue("no key and value columns")
+        db = self.open(name, kind)
+        db.put(rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
+        return db
+
+
+class Db:
+    def __init__(self, store: Store, name: str, aspect: Aspect | None = None):
+        self.store, self.name, self.spark, self.files = store, name, store.spark, store.files
+        self.aspect = aspect or Aspect()
+        self.manifest = self._load()
+        self.merge_error: Exception | None = None
+        self.write_threshold, self.max_age_ms = 50_000, 1000
+
+    # manifest ------------------------------------------------------------------------------------------------------
+
+    def _load(self) -> dict:
+        try:
+            return json.loads(self.files.read(f"{self.name}/manifest.json"))
+        except ValueError as e:
+            raise WalError(f"{self.name}: {e}") from e
+
+    def _save(self, m: dict) -> None:
+        m["version"] += 1
+        self.files.swap(f"{self.name}/manifest.json", json.dumps(m))
+        self.manifest = m
+
+    def update(self) -> None:
+        """Move to the newest commit."""
+        self.manifest = self._load()
+
+    @property
+    def multi(self) -> bool:
+        return self.manifest["kind"].startswith("confluence")
+
+    @property
+    def replicated(self) -> bool:
+        return self.manifest["kind"].endswith("replicated")
+
+    def txn_id(self) -> int:
+        """The newest committed transaction that reads see."""
+        done = [t["txn_id"] for t in self.manifest["txns"] if t["state"] == "committed"]
+        return max([self.manifest["base_txn"], *done])
+
+    def txns(self) -> DataFrame:
+        return self.spark.createDataFrame([(self.name, t["source"], t["txn_id"], t["state"], t["origin"], t["started"], t["ended"]) for t in self.manifest["txns"]], TXN)
+
+    def transaction_active(self, source: str = "main") -> bool:
+        self.update()
+        return any(t["state"] in ("open", "prepared") and t["source"] == source for t in self.manifest["txns"])
+
+    def path(self, part: str) -> str:
+        return f"{self.store.path}/{self.name}/{part}"
+
+    # transactions --------------------------------------------------------------------------------------------------
+
+    def begin(self, source: str = "main", origin: str = "user", non_blocking: bool = True) -> Txn:
+        """One open transaction a database, or a source where the kind has many writers."""
+        if source != "main" and not self.multi:
+            raise NotSupported("one writer only")
+        if not self.aspect.before_start_transaction():
+            raise TransactionActive("vetoed")
+        if self.transaction_active(source):
+            raise TransactionActive(f"{self.name} {source}")
+        m = self._load()
+        t = {"txn_id": m["next_txn"], "source": source, "state": "open", "origin": origin, "started": time.time(), "ended": None, "paths": [], "rows": None}
+        m["next_txn"] += 1
+        m["txns"].append(t)
+        self._save(m)
+        self.aspect.on_start_transaction(t["txn_id"])
+        return Txn(self, t["txn_id"], source)
+
+    def _entry(self, m: dict, txn_id: int) -> dict:
+        return next(t for t in m["txns"] if t["txn_id"] == txn_id)
+
+    def resolve_prepared(self, commit: bool) -> bool:
+        """Settle the transaction that a crash left prepared."""
+        self.update()
+        for t in self.manifest["txns"]:
+            if t["state"] == "prepared":
+                txn = Txn(self, t["txn_id"], t["source"], paths=t["paths"])
+                return txn.commit() if commit else txn.rollback()
+        return False
+
+    def put(self, kv: DataFrame, source: str = "main") -> int:
+        with self.begin(source) as t:
+            t.put(kv)
+        return t.txn_id
+
+    def delete(self, keys: DataFrame, strict: bool = False, source: str = "main") -> int:
+        with self.begin(source) as t:
+            t.delete(keys, strict)
+        return t.txn_id
+
+    # reads ---------------------------------------------------------------------------------------------------------
+
+    def base(self) -> DataFrame:
+        at = self.manifest["base"]
+        return self.spark.read.schema(KV).parquet(self.path(at)) if at else self.spark.createDataFrame([], KV)
+
+    def log(self, states: tuple[str, ...] = ("committed",), source: str | None = None) -> DataFrame:
+        paths = [self.path(p) for t in self.manifest["txns"] if t["state"] in states and (source is None or t["source"] == source) for p in t["paths"]]
+        return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+
+    def all_changes(self) -> DataFrame:
+        """The compacted base as puts of its transaction, and the committed log."""
+        return history.puts(self.base(), self.manifest["base_txn"], "", self.name).select(*LOG.fieldNames()).unionByName(self.log())
+
+    def snapshot(self, txn_id: int | None = None) -> DataFrame:
+        """(key, value) as of a transaction, through the read hook."""
+        if txn_id is not None and txn_id < self.manifest["base_txn"]:
+            raise WrongValue(f"versions before {self.manifest['base_txn']} were vacuumed")
+        raw = self._raw(txn_id)
+        return raw.select("key", self.aspect.on_read(F.col("key"), F.col("value")).alias("value"))
+
+    def _raw(self, txn_id: int | None = None) -> DataFrame:
+        changes = self.all_changes()
+        if txn_id is not None:
+            changes = changes.filter(F.col("txn_id") <= txn_id)
+        a = self.aspect
+        if not self.multi or type(a).may_merge_overwrite is Aspect.may_merge_overwrite and type(a).may_merge_add is Aspect.may_merge_add and type(a).may_merge_delete is Aspect.may_merge_delete:
+            return history.snapshot(changes)
+        return merging.fold(changes, self._policy())
+
+    def _policy(self) -> merging.Policy:
+        return merging.Policy(self.aspect.may_merge_overwrite, self.aspect.may_merge_add, self.aspect.may_merge_delete)
+
+    def find(self, probes: DataFrame) -> DataFrame:
+        """probes with value; probes that the hook vetoes find nothing."""
+        allowed = probes.filter(self.aspect.before_find(F.col("key")))
+        found = reads.get_many(self.snapshot(), allowed)
+        out = probes.join(found.select("key", "value").distinct(), "key", "left")
+        if type(self.aspect).on_find is not Aspect.on_find:
+            n, hits = found.agg(F.count(F.lit(1)), F.count("value")).first()
+            self.aspect.on_find(n, hits)
+        return out
+
+    def __getitem__(self, key: bytes) -> bytes:
+        row = reads.get(self.snapshot(), bytearray(key)).first()
+        if row is None:
+            raise KeyError(key)
+        return bytes(row["value"])
+
+    def __contains__(self, key: bytes) -> bool:
+        return reads.get(self.snapshot(), bytearray(key)).first() is not None
+
+    def __len__(self) -> int:
+        return self.snapshot().count()
+
+    def __setitem__(self, key: bytes, value: bytes) -> None:
+        self.put(self.spark.createDataFrame([(bytearray(key), bytearray(value))], KV))
+
+    def __delitem__(self, key: bytes) -> None:
+        self.delete(self.spark.createDataFrame([(bytearray(key),)], "key binary"), strict=True)
+
+    def __iter__(self):
+        return (bytes(r["key"]) for r in self.snapshot().select("key").orderBy("key").toLocalIterator())
+
+    def setdefault(self, key: bytes, value: bytes) -> bytes:
+        if key not in self:
+            self[key] = value
+        return self[key]
+
+    # deletions -----------------------------------------------------------------------------------------------------
+
+    def deletions(self) -> DataFrame:
+        """Retained markers of a replicated database: those stored, and deletes committed since."""
+        if not self.replicated:
+            raise NotSupported("not replicated")
+        at = self.manifest["deletions"]
+        kept = self.spark.read.schema(DELETIONS).parquet(self.path(at)) if at else self.spark.createDataFrame([], DELETIONS)
+        fresh = self.log().filter("op = 'del'").groupBy("key").agg(F.max_by(F.struct(F.col("ts").alias("deleted_at"), "meta"), F.struct("txn_id", "seq")).alias("m")).select("key", "m.deleted_at", "m.meta")
+        return kept.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+
+    def set_retention(self, seconds: int) -> None:
+        m = self._load()
+        m["retention"] = seconds
+        self._save(m)
+
+    def purge(self, now=None) -> tuple[int, object]:
+        """Drop markers older than the retention; (purged, oldest that remains)."""
+        now = F.current_timestamp() if now is None else now
+        old = self.deletions()
+        purged, oldest = replication.purge_stats(old, now, self.manifest["retention"]).first()
+        self._fold(replication.purge(old, now, self.manifest["retention"]), origin="defrag")
+        return purged, oldest
+
+    def replica(self) -> replication.Replica:
+        return replication.Replica(self._raw(), self.deletions())
+
+    def receive(self, src: Db, mode: str = "sticky") -> dict:
+        """Replicate from src in one commit."""
+        if not self.replicated or not src.replicated:
+            raise NotSupported("not replicated")
+        if self.transaction_active():
+            raise TransactionActive(self.name)
+        before = self._raw()
+        out = replication.apply(src.replica(), self.replica(), self._policy(), mode)
+        n = {r["change"]: r["count"] for r in replication.hashing.diff(before, out.main).groupBy("change").count().collect()}
+        self._fold(out.deletions, out.main, "merge")
+        return {"state": "idle", "error": None, "keys_added": n.get("added", 0), "overwritten": n.get("changed", 0), "deleted": n.get("removed", 0)}
+
+    # maintenance ---------------------------------------------------------------------------------------------------
+
+    def _fold(self, deletions: DataFrame | None = None, main: DataFrame | None = None, origin: str = "defrag", sources: list[str] | None = None) -> None:
+        """Write a new base (and markers) and drop the log behind it, in one manifest change. Keys are range-partitioned and sorted, so scans prune."""
+        m = self._load()
+        taken = [t for t in m["txns"] if t["state"] == "committed" and (sources is None or t["source"] in sources)]
+        main = self._raw() if main is None else main
+        if deletions is None and self.replicated:
+            deletions = self.deletions()
+        tag = uuid.uuid4().hex
+        main.repartitionByRange("key").sortWithinPartitions("key").write.parquet(self.path(f"snapshot/{tag}"))
+        if deletions is not None:
+            deletions.write.parquet(self.path(f"deletions/{tag}"))
+            m["deletions"] = f"deletions/{tag}"
+        txn = m["next_txn"]
+        m["next_txn"] += 1
+        m["base"], m["base_txn"] = f"snapshot/{tag}", max([m["base_txn"], *(t["txn_id"] for t in taken)])
+        gone = {t["txn_id"] for t in taken}
+        m["txns"] = [t for t in m["txns"] if t["txn_id"] not in gone and not (t["state"] == "committed" and t["origin"] != "user")]
+        m["txns"].append({"txn_id": txn, "source": "main", "state": "committed", "origin": origin, "started": time.time(), "ended": time.time(), "paths": [], "rows": 0})
+        m["base_txn"] = txn
+        self._save(m)
+        self.aspect.on_commit(txn, origin)
+
+    def compact(self) -> bool:
+        """Rewrite the log into a sorted base; content stays the same."""
+        if not self.aspect.before_defrag():
+            return False
+        if self.transaction_active():
+            raise TransactionActive(self.name)
+        self._fold()
+        self.aspect.on_defrag()
+        return True
+
+    def truncate(self) -> bool:
+        if not self.aspect.before_reset():
+            return False
+        if self.transaction_active():
+            raise TransactionActive(self.name)
+        m = self._load()
+        m |= {"base": None, "base_txn": m["next_txn"], "deletions": None, "txns": []}
+        m["next_txn"] += 1
+        self._save(m)
+        self.aspect.on_reset()
+        return True
+
+    def vacuum(self) -> list[str]:
+        """Delete files that the manifest does not name."""
+        m = self._load()
+        named = {m["base"], m["deletions"], *(p for t in m["txns"] for p in t["paths"])}
+        gone = [f"{d}/{n}" for d in ("snapshot", "deletions", "log") for n in self.files.names(f"{self.name}/{d}") if f"{d}/{n}" not in named]
+        for g in gone:
+            self.files.delete(f"{self.name}/{g}")
+        return gone
+
+    def sanitize(self) -> None:
+        """After a crash: open transactions are dropped, prepared ones stay pending, committed ones count."""
+        m = self._load()
+        if any(t["state"] == "open" for t in m["txns"]):
+            m["txns"] = [t for t in m["txns"] if t["state"] != "open"]
+            self._save(m)
+        self.aspect.on_sanitize()
+
+    def repair(self) -> list[int]:
+        """Drop the first transaction whose files cannot be read back whole, and all after it; their ids are returned."""
+        m = self._load()
+        bad = None
+        for t in sorted(m["txns"], key=lambda t: t["txn_id"]):
+            try:
+                n = sum(self.spark.read.schema(LOG).parquet(self.path(p)).count() for p in t["paths"])
+            except Exception:
+                n = -1
+            if t["state"] == "committed" and t["rows"] is not None and n != t["rows"]:
+                bad = t["txn_id"]
+                break
+        if bad is None:
+            return []
+        lost = [t["txn_id"] for t in m["txns"] if t["txn_id"] >= bad]
+        m["txns"] = [t for t in m["txns"] if t["txn_id"] < bad]
+        self._save(m)
+        return lost
+
+    def statistics(self) -> DataFrame:
+        from keyloom.operators.trie import node_counts
+
+        return node_counts(self._raw())
+
+    def check(self) -> dict[str, bool]:
+        """Invariants: one row a key, ascending transaction ids, named files present."""
+        rows = self._raw()
+        n, keys = rows.count(), rows.select("key").distinct().count()
+        ids = [t["txn_id"] for t in self.manifest["txns"]]
+        return {"unique_keys": n == keys, "ascending": ids == sorted(ids), "files": all(self.files.exists(f"{self.name}/{p}") for t in self.manifest["txns"] for p in t["paths"])}
+
+    # many writers --------------------------------------------------------------------------------------------------
+
+    def set_merge_write_threshold(self, n: int) -> None:
+        self.write_threshold = n
+
+    def set_max_attached_age_ms(self, ms: int) -> None:
+        self.max_age_ms = ms
+
+    def due(self, now=None) -> list[str]:
+        """Sources due for merging; at most one row a writer reaches the driver."""
+        self.update()
+        return sorted(r["source"] for r in merging.eligible(self.log().filter("source != 'main'"), self.write_threshold, self.max_age_ms, now).select("source").collect())
+
+    def merge_now(self, now=None) -> list[str]:
+        return self._merge(self.due(now))
+
+    def merge_all(self) -> list[str]:
+        self.update()
+        return self._merge(sorted({t["source"] for t in self.manifest["txns"] if t["source"] != "main" and t["state"] == "committed"}))
+
+    def _merge(self, sources: list[str]) -> list[str]:
+        """Compact sources into the base, tombstones first; on an error the data stay pending and the error is kept."""
+        if not self.multi:
+            raise NotSupported("one writer only")
+        if not sources:
+            return []
+        try:
+            mine = self.log().filter(F.col("source").isin([*sources, "main"]))
+            before = history.snapshot(history.puts(self.base(), self.manifest["base_txn"], "", self.name).select(*LOG.fieldNames()).unionByName(self.log(source="main")))
+            main = merging.compact(before, mine.filter("source != 'main'"), self._policy())
+            self._fold(None, main, "merge", [*sources, "main"])
+            return sources
+        except Exception as e:
+            self.merge_error = self.merge_error or e
+            return []
+
+    def get_merge_error(self) -> Exception | None:
+        """The first error since the last call."""
+        e, self.merge_error = self.merge_error, None
+        return e
+
+
+class Txn:
+    """A write transaction. Leaving the `with` block commits; an exception rolls back."""
+
+    def __init__(self, db: Db, txn_id: int, source: str, paths: list[str] | None = None):
+        self.db, self.txn_id, self.source, self.paths, self.seq = db, txn_id, source, list(paths or []), len(paths or [])
+
+    def __enter__(self) -> Txn:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            self.rollback()
+        elif self._state() in ("open", "prepared"):
+            self.commit()
+
+    def _state(self) -> str | None:
+        return next((t["state"] for t in self.db._load()["txns"] if t["txn_id"] == self.txn_id), None)
+
+    def _stage(self, rows: DataFrame) -> None:
+        path = f"log/{self.source}-{self.txn_id}-{self.seq}"
+        rows.withColumn("seq", F.lit(self.seq).cast("long")).select(*LOG.fieldNames()).write.mode("overwrite").parquet(self.db.path(path))
+        self.paths.append(path)
+        self.seq += 1
+
+    def put(self, kv: DataFrame) -> None:
+        """Rows (key, value); a later put of the same transaction wins."""
+        a = self.db.aspect
+        kv = checked(kv.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")))
+        out = kv.select("key", F.coalesce(a.on_write(F.col("key"), F.col("value")), F.lit(b"")).alias("value"))
+        rows = history.puts(out, self.txn_id, self.source, self.db.name)
+        self._stage(rows.withColumn("meta", F.when(is_big(F.col("value")), a.big_meta(F.col("key"), F.col("value")))))
+        self._count("writes", "bytes_written")
+
+    def _count(self, n: str, size: str | None = None) -> None:
+        add = getattr(self.db.aspect, "add", None)
+        if add:
+            rows, total = self.db.spark.read.schema(LOG).parquet(self.db.path(self.paths[-1])).agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).first()
+            add(**({n: rows} | ({size: total} if size else {})))
+
+    def view(self) -> DataFrame:
+        """Committed rows and this transaction's own."""
+        own = self.db.spark.read.schema(LOG).parquet(*[self.db.path(p) for p in self.paths]) if self.paths else self.db.spark.createDataFrame([], LOG)
+        return history.own_view(self.db.all_changes(), own)
+
+    def delete(self, keys: DataFrame, strict: bool = False) -> None:
+        """Rows (key[, meta]). Keys that are absent or that the hook vetoes raise if strict, else stay as they are."""
+        keys = keys.withColumn("key", F.col("key").cast("binary"))
+        if not self.db.multi or strict:
+            hit = self.view().join(keys.select("key").distinct(), "key", "left_semi").filter(self.db.aspect.may_delete(F.col("key"), F.col("value")))
+            if strict and hit.count() != keys.select("key").distinct().count():
+                raise NoValidPosition("absent or vetoed keys")
+            keys = keys.join(hit.select("key"), "key", "left_semi")
+        meta = F.col("meta") if "meta" in keys.columns else None
+        self._stage(history.dels(keys, self.txn_id, self.source, self.db.name, meta))
+        self._count("deletes")
+
+    def prepare(self) -> int:
+        """Phase one: durable, but invisible. Returns the id; again without effect."""
+        m = self.db._load()
+        t = self.db._entry(m, self.txn_id)
+        if t["state"] == "open":
+            rows = self.db.spark.read.schema(LOG).parquet(*[self.db.path(p) for p in self.paths]).count() if self.paths else 0
+            t |= {"state": "prepared", "paths": self.paths, "rows": rows}
+            self.db._save(m)
+        return self.txn_id
+
+    def commit(self) -> bool:
+        """Phase two: one manifest change makes the transaction visible."""
+        if not self.db.aspect.before_commit(self.txn_id):
+            return False
+        if self._state() not in ("open", "prepared"):
+            return False
+        self.prepare()
+        m = self.db._load()
+        t = self.db._entry(m, self.txn_id)
+        t |= {"state": "committed", "ended": time.time()}
+        self.db._save(m)
+        self.db.aspect.on_commit(self.txn_id, t["origin"])
+        return True
+
+    def rollback(self) -> bool:
+        if not self.db.aspect.before_rollback(self.txn_id):
+            return False
+        m = self.db._load()
+        t = next((t for t in m["txns"] if t["txn_id"] == self.txn_id and t["state"] in ("open", "prepared")), None)
+        if t is None:
+            return False
+        t |= {"state": "aborted", "paths": [], "ended": time.time()}
+        self.db._save(m)
+        for p in self.paths:
+            with suppress(Exception):
+                self.db.files.delete(f"{self.db.name}/{p}")
+        self.db.aspect.on_rollback(self.txn_id)
+        return True
