@@ -45,7 +45,7 @@ def puts(kv: DataFrame, txn_id: int, source: str = "main", db: str = "main") ->
 
 
 def dels(keys: DataFrame, txn_id: int, source: str = "main", db: str = "main", meta: Column | None = None) -> DataFrame:
-    return puts(keys.withColumn("value", F.lit(None)), txn_id, source, db).withColumn("op", F.lit("del")).withColumn("meta", F.lit(None).cast("binary") if meta is None else meta)
+    return puts(keys.withColumn("value", F.lit(None).cast("binary")), txn_id, source, db).withColumn("op", F.lit("del")).withColumn("meta", F.lit(None).cast("binary") if meta is None else meta)
 
 
 def upsert(kv: DataFrame, changes: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def delete_keys(spark, sf_dir):
     return history.delete_keys(t.orders(spark, sf_dir), _probes(spark, sf_dir))
 
 
-@query(f"SELECT key, CASE WHEN k % 4 = 0 THEN value + 100 ELSE value END AS value FROM {BALANCES}")
+@query(f"SELECT key, CAST(CASE WHEN k % 4 = 0 THEN value + 100 ELSE value END AS DECIMAL(18,2)) AS value FROM {BALANCES}")
 def rmw_increment(spark, sf_dir):
     kv = t.balances(spark, sf_dir)
     out = history.read_modify_write(kv, kv.filter(F.col("key").cast("long") % 4 == 0), lambda k, v: (v + 100).cast("decimal(18,2)"))

@@ -510,7 +510,7 @@ class Txn:
 
     def _stage(self, rows: DataFrame) -> None:
         path = f"log/{self.source}-{self.txn_id}-{self.seq}"
-        rows.withColumn("seq", F.lit(self.seq).cast("long")).select(*LOG.fieldNames()).write.mode("overwrite").parquet(self.db.path(path))
+        rows.withColumn("seq", F.lit(self.seq)).select(*[F.col(f.name).cast(f.dataType) for f in LOG]).write.mode("overwrite").parquet(self.db.path(path))
         self.paths.append(path)
         self.seq += 1
 
