@@ -92,7 +92,7 @@ def document_words(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.n
         if not len(start):
             continue
         # texts touch each other in the buffer: cut words at text ends
-        cuts = (lo[1:] - a)[np.diff(doc) > 0]
+        cuts = np.unique((lo[1:] - a)[np.diff(doc) > 0])
         inside = cuts[np.searchsorted(start, cuts, "right") - 1 >= 0]
         at = np.searchsorted(start, inside, "right") - 1
         split = inside[(start[at] < inside) & (end[at] > inside)]
@@ -262,7 +262,9 @@ class Model:
         x = self.evidence(body, offsets)[0]
         share = y.mean()
         weight = np.where(y > 0, (rate or share) / share, (1 - (rate or share)) / (1 - share))
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-9
+        # a text without words, which the sample may lack, is known to be clean
+        x, y, weight = np.vstack([x, np.zeros(x.shape[1])]), np.append(y, 0.0), np.append(weight, 5.0)
+        self.low, self.high, self.mean, self.std = x.min(0), x.max(0), x.mean(0), x.std(0) + 1e-9
         z = np.column_stack([(x - self.mean) / self.std, np.ones(len(x))])
         self.beta = np.zeros(z.shape[1])
         for _ in range(60):
@@ -297,7 +299,7 @@ class Model:
         if self.constant is not None or not n:
             return np.full(n, self.constant or 0.0), [[] for _ in range(n)]
         x, spans = self.evidence(body, offsets)
-        z = ((x - self.mean) / self.std) @ self.beta[:-1] + self.beta[-1]
+        z = ((np.clip(x, self.low, self.high) - self.mean) / self.std) @ self.beta[:-1] + self.beta[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
 
