@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ def reserve(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return df
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, so that executors need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="keyloom-")) / "keyloom.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(to))
+    _shipped.add(sc.applicationId)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared folder that the session names in spark.checkpoint.dir; a local one only where it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

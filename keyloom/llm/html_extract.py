@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.llm.common import reserve, ship
+
 #: Fixed values of HTML: element names by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
@@ -396,9 +398,8 @@ def learn(df: DataFrame, id_col: str = "page_id", html_col: str = "html", sample
 
 def extract_texts(df: DataFrame, classifier: Classifier, html_col: str = "html") -> DataFrame:
     """df's columns but the html, plus text and n_chars (columns of these names come back with `_in`)."""
-    from keyloom.llm.common import reserve
-
     df = reserve(df, ("text", "n_chars"))
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(classifier)
     kept = [f for f in df.schema.fields if f.name != html_col]
     df = df.select(*[f.name for f in kept], html_col)

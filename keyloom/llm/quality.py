@@ -7,7 +7,7 @@ are max-pooled over the document, and a logistic unit combines them into one pro
 pooling (gradients reach the places that won).
 
 Training uses a bounded sample: about `per_label` documents a label, none over `max_bytes`, of which each round sees a
-window of at most 2 KiB. Scoring covers every byte of every document, in pieces of bounded memory.
+window of at most 2 KiB, sometimes a much shorter one. Scoring covers every byte of every document, in pieces of bounded memory.
 
 Defined cases: null and empty texts are one chunk of padding and get its score; if only one label, or none, is seen, the
 score is that label's (else 0.5); rows without a label are not learned from; repeated rows get equal scores.
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, sample_by_label
+from keyloom.llm.common import ship
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
 BLOCK, PER_CHUNK, STRIDE = 64, 4, 2  # chunk: 4 blocks; a new one every 2
@@ -110,8 +111,10 @@ class Network:
                 cut = []
                 for i in pick:
                     t = texts[i]
-                    at = int(r.integers(0, len(t) - window + 1)) if len(t) > window else 0
-                    cut.append(t[at : at + window])
+                    # now and then a short cut of a good text, so that short texts are not foreign
+                    size = window if labels[i] < 1 or r.random() < 0.93 else int(np.exp(r.uniform(np.log(4), np.log(50))))
+                    at = int(r.integers(0, len(t) - size + 1)) if len(t) > size else 0
+                    cut.append(t[at : at + size])
                 grads = self._gradients(cut, labels[pick])
                 step += 1
                 for k, g in grads.items():
@@ -176,6 +179,7 @@ def learn(df: DataFrame, label_col: str = "quality", id_col: str = "doc_id", tex
 
 def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of each document."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from keyloom.llm.common import ship
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -354,6 +356,7 @@ def read_model(path: str) -> bytes:
 
 def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes_covered: the digests of each text's ids, decoded text and spans."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -369,6 +372,7 @@ def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col
 
 def encode_tokens(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (with begin and end ids), from_byte, to_byte (spans, empty for begin and end) and decoded text of each document."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 

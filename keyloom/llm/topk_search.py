@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import ship
+
 SCALE = 1024
 ROWS_AT_ONCE = 2048
 
@@ -91,6 +93,7 @@ class Block:
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, block_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for (id, v) queries against (id, v) rows."""
     spark = rows.sparkSession
+    ship(spark)
     blocks = max(1, -(-queries.count() // block_rows))
     numbered = queries.withColumn("__b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     out = None

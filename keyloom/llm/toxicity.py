@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, pieces, sample_by_label
+from keyloom.llm.common import ship
 
 PREFIXES = (4, 5, 6, 7)
 PIECE = 1 << 20
@@ -314,6 +315,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("from_byte", T.IntegerType()), T.
 
 def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score and spans (byte ranges of words with a marginal of one half or more, with it) of each document."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", SPAN)])
     kind = pa.list_(pa.struct([("from_byte", pa.int32()), ("to_byte", pa.int32()), ("marginal", pa.float64())]))
