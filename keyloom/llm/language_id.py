@@ -15,14 +15,16 @@ pieces; repeated rows get equal answers; input columns other than id and text pl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, pieces, sample_by_label, span_sums
+from keyloom.llm.common import reserve, ship
 
 #: The branch of each language code. Codes not listed are families of their own.
 FAMILIES = {
@@ -153,12 +155,13 @@ class Model:
         if not self.languages or not n:
             return ["und"] * n, np.zeros(n)
         names, sure = self.choose(self.margins(body, offsets))
-        letters = np.append(np.cumsum(_ascii_letter[body], dtype=np.int64), 0)[offsets[1:] - 1] if len(body) else np.zeros(n)
-        before = np.concatenate([[0], letters[:-1]]) if len(body) else np.zeros(n)
-        empty = np.diff(offsets) == 0
-        for i in np.flatnonzero(empty | (letters == before)):
+        some = np.diff(offsets) > 0
+        plain = np.zeros(n, bool)
+        if some.any():
+            plain[some] = np.logical_or.reduceat(_ascii_letter[body], offsets[:-1][some])
+        for i in np.flatnonzero(~plain):
             # no ASCII letter: look for others
-            if empty[i] or not has_letter(column[int(i)].as_py() or ""):
+            if not has_letter(column[int(i)].as_py() or ""):
                 names[i], sure[i] = "und", 0.0
         return names, sure
 
@@ -170,20 +173,15 @@ def learn(df: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's columns plus lang_pred and score (input columns of these names come back with `_in`)."""
-    from keyloom.llm.common import reserve
-
     df = reserve(df, ("lang_pred", "score"))
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
-    names = [*df.columns, "lang_pred", "score"]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            lang, sure = m.predict(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names)
+    @F.arrow_udf(kind)
+    def answer(text: pa.Array) -> pa.Array:
+        lang, sure = shared.value.predict(text)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
-    return df.mapInArrow(run, schema)
+    # only texts go to Python and only answers come back
+    return df.withColumn("__answer", answer(F.col(text_col).cast("string"))).select(*df.columns, "__answer.lang_pred", "__answer.score")
