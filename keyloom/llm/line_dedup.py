@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import lower_ascii, reserve
 
 SPACE = " \t\n\x0b\f\r"
-RANGE_BITS, SALTS = 12, 64
+LINES_PER_RANGE, SALTS = 1 << 16, 64
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -41,8 +41,9 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = [x["item"] for x in top or [] if x["count"] > max(n // hot_share, 1000)]
 
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
-    range_of = F.shiftrightunsigned("h1", 64 - RANGE_BITS)
-    salted = F.when(is_hot, range_of * SALTS + F.pmod(F.xxhash64("id"), F.lit(SALTS)) + (1 << RANGE_BITS)).otherwise(range_of)
+    bits = max(12, (n // LINES_PER_RANGE).bit_length())  # ranges grow in number, not in size
+    range_of = F.shiftrightunsigned("h1", 64 - bits)
+    salted = F.when(is_hot, range_of * SALTS + F.pmod(F.xxhash64("id"), F.lit(SALTS)) + (1 << bits)).otherwise(range_of)
     dealt = lines.withColumn("range", salted).repartition("range")
     stream = Window.partitionBy("range", "h1", "h2").orderBy(F.col("id").asc_nulls_last(), "tid", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = dealt.withColumn("first", F.first("id").over(stream)).withColumn("drop", ~F.col("id").eqNullSafe(F.col("first")))
