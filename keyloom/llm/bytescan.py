@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +28,18 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most `rows` rows whose texts are at most about `limit` bytes together."""
+    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    end = np.cumsum(size)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(end, (end[lo - 1] if lo else 0) + limit, "right"))
+        hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def pieces(offsets: np.ndarray, limit: int, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of spans (text number, from, to) of at most about `limit` bytes together. Parts of one text overlap by `overlap` bytes."""
     doc: list[int] = []

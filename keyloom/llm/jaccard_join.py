@@ -10,10 +10,14 @@ Elsewhere m exceeds H + 1 by a slack, which pays for empty segments and for skip
 
 Candidates. Index entries travel as packed blobs (8 bytes an entry), dealt out by hash. A bucket of at most `SMALL` sets
 gives its pairs. A larger one gives only a star to its smallest member; a set none of whose links can hide behind its
-large buckets, by its slack, needs no more. For the others, pairs inside large buckets are taken where their members are
-still in different components after the stars are verified, so groups of copies never expand into pairs.
-
-Verification is exact on whole sets: candidate edges are grouped by their smaller end (hot ends salted), whose set is read
+large buckets, by its slack, needs no more. For the others, large buckets whose members are still in different components
+give a star to their busiest member, and the sets around one such member are compared among themselves: in one task up to
+a bound, beyond it by a join of their differences from that member (see `_around_heads`). Groups of copies never expand
+into pairs of rows.
+
+Candidate edges first pass an exact filter: the parity sketches of two sets differ in no more bits than the sets do in
+elements, so a pair whose sketches differ in more than (|x| + |y|) / 9 bits cannot link. Verification is exact on whole
+sets: candidate edges are grouped by their smaller end (hot ends salted), whose set is read
 once, with the other ends streaming past. A first round takes each set's best edge, later rounds only edges between
 different components. Components grow by contraction (hook to the smallest neighbour, then jump pointers), all in tables.
 Equal sets are one node from the start. Nothing is capped or sampled.
@@ -33,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.bytescan import flat
-from keyloom.llm.common import scratch, stored
+from keyloom.llm.bytescan import flat, slices
+from keyloom.llm.common import scratch, ship, stored
 
 SMALL = 8
 KEY_BITS, MEMBER_BITS = 44, 20
 PIECE = 1 << 20
+TEXT_BYTES = 6 << 20  # shingled at once: their arrays take some twenty times as much
 BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 4096
 U = np.uint64
@@ -142,6 +147,28 @@ def fingerprint(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s, 3).sum(dtype=np.uint64) + U(len(s))], np.uint64), 4).view(np.int64)[0])
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's elements over a power of two of at least 2 bits an element. Two sketches differ in no more bits than the sets in elements."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    at = (mix(s, 9) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+_ones = np.array([bin(i).count("1") for i in range(256)], np.int64)
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Bits that differ, the longer sketch folded to the shorter's size: a lower bound of the sets' difference."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(_ones[a ^ b].sum())
+
+
 # bands ---------------------------------------------------------------------------------------------------------------
 
 
@@ -216,15 +243,15 @@ def _mapped(parts: int, id_type: pa.DataType, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                part = batch.slice(at, 10_000)
+            for part in slices(batch, 1, TEXT_BYTES):
                 sets = shingle_sets(*flat(part.column(1)), width)
                 node = np.array([fingerprint(s) for s in sets], np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
                 rows = len(sets)
                 where = (mix(node.view(np.uint64), 8) >> U(32)).astype(np.int64) % parts
                 none = pa.nulls(rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), pa.array(where.astype(np.int32)), part.column(0), pa.array(node), pa.array(n), none, none, none], schema=schema)
+                sketches = pa.array([odd_sketch(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), pa.array(where.astype(np.int32)), part.column(0), pa.array(node), pa.array(n), sketches, none, none], schema=schema)
                 named = np.flatnonzero(part.column(0).is_valid().to_numpy(zero_copy_only=False))
                 one = named[np.unique(node[named], return_index=True)[1]]
                 keys, member, owner, slack = index_entries([sets[i] for i in one])
@@ -292,13 +319,13 @@ def bucket_edges(key: np.ndarray, node: np.ndarray, slack: np.ndarray) -> tuple[
 
 
 def _reduced(id_type: pa.DataType):
-    names = ["kind", "id", "a", "b", "c"]
+    names = ["kind", "id", "a", "b", "c", "sketch"]
 
     def rows(kind: int, a, b, c, ids=None) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(a), 100_000):
             s = slice(at, at + 100_000)
             n = len(a[s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, id_type) if ids is None else ids, pa.array(a[s]), pa.array(b[s]), pa.array(np.asarray(c[s], np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.nulls(n, id_type) if ids is None else ids, pa.array(a[s]), pa.array(b[s]), pa.array(np.asarray(c[s], np.int64)), pa.nulls(n, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -307,7 +334,7 @@ def _reduced(id_type: pa.DataType):
             docs = np.flatnonzero(kind == 0)
             if len(docs):
                 d = batch.take(pa.array(docs))
-                yield pa.RecordBatch.from_arrays([d.column(0), d.column(2), d.column(3), d.column(4), pa.array(np.zeros(len(docs), np.int64))], names)
+                yield pa.RecordBatch.from_arrays([d.column(0), d.column(2), d.column(3), d.column(4), pa.array(np.zeros(len(docs), np.int64)), d.column(5)], names)
             for i in np.flatnonzero(kind == 1).tolist():
                 e = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
                 local = (e & U((1 << MEMBER_BITS) - 1)).astype(np.int64)
@@ -323,67 +350,205 @@ def _reduced(id_type: pa.DataType):
     return run
 
 
+def _possible(edges: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Edges (a, b, ...) that their sketches (node, n, sketch) do not rule out."""
+    kept = edges.columns
+    for x in "ab":
+        edges = edges.join(sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    edges = edges.select(*kept, "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = len(kept)
+            na, nb = (batch.column(k + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sa, sb = batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist()
+            ok = [9 * sketch_distance(x, y) <= n for x, y, n in zip(sa, sb, (na + nb).tolist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(kept)
+
+    from pyspark.sql.types import StructType
+
+    return edges.mapInArrow(run, StructType([edges.schema[c] for c in kept]))
+
+
 # verification and components -------------------------------------------------------------------------------------------
 
 
-def _verified(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The edges (a, b) whose sets link. members: (id, node)."""
+def _sets_by_head(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(a, salt, role, tag, salts, node, shingles) for edges (a, b[, tag]): each head's set (role 0) comes before the sets at its edges' other ends (role 1). Hot heads are dealt out by salt."""
+    edges = edges if "tag" in edges.columns else edges.withColumn("tag", F.lit(0).cast("long"))
     width_of = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     salted = edges.join(width_of, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    ends = salted.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role"))
-    heads = width_of.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    targets = ends.unionByName(heads).groupBy("node").agg(F.collect_list(F.struct("a", "salt", "role")).alias("targets"))
+    ends = salted.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role"), "tag", "salts")
+    heads = width_of.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("tag"), "salts")
+    targets = ends.unionByName(heads).groupBy("node").agg(F.collect_list(F.struct("a", "salt", "role", "tag", "salts")).alias("targets"))
     # any one document of a node stands for its set
     wanted = targets.join(members.filter(F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id")), "node").select(F.col("id").alias("__id"), "node", "targets")
-    folder = scratch(docs.sparkSession)
-    wanted = stored(wanted, folder, "wanted")
+    wanted = stored(wanted, scratch(docs.sparkSession), "wanted")
     rows, sends = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("targets")), F.lit(0))).first()
     few = rows <= BROADCAST_ROWS and sends <= 4 * BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted) if few else wanted, "__id").select("__text", "node", "targets")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 0, TEXT_BYTES):
                 sets = shingle_sets(*flat(part.column(0)), width)
                 # another text may have the same id
                 true = np.array([fingerprint(s) for s in sets], np.int64) == part.column(1).to_numpy(zero_copy_only=False)
                 if not true.all():
                     part, sets = part.filter(pa.array(true)), [s for s, t in zip(sets, true, strict=True) if t]
                 lists = part.column(2)
-                n = np.asarray(lists.value_lengths())
+                own = np.repeat(np.arange(len(sets)), np.asarray(lists.value_lengths()))
                 flat_t = lists.flatten()
-                own = np.repeat(np.arange(len(sets)), n)
                 blobs = pa.array([s.tobytes() for s in sets], pa.binary())
                 for lo in range(0, len(own), 2000):
-                    s = slice(lo, lo + 2000)
-                    k = pa.array(own[s])
-                    t = flat_t.slice(lo, len(own[s]))
-                    yield pa.RecordBatch.from_arrays([t.field("a"), t.field("salt"), t.field("role"), part.column(1).take(k), blobs.take(k)], ["a", "salt", "role", "node", "shingles"])
+                    k = pa.array(own[lo : lo + 2000])
+                    t = flat_t.slice(lo, len(k))
+                    yield pa.RecordBatch.from_arrays([t.field("a"), t.field("salt"), t.field("role"), t.field("tag"), t.field("salts"), part.column(1).take(k), blobs.take(k)], ["a", "salt", "role", "tag", "salts", "node", "shingles"])
+
+    sent = texts.mapInArrow(emit, "a long, salt int, role int, tag long, salts int, node long, shingles binary")
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+    """(head, node, tag, salts of the head, head's set, node's set) for each edge of _sets_by_head's rows; one head's set is held at a time."""
+    now, head = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        a, salt, role, tag, salts, node = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(6))
+        blobs = batch.column(6)
+        for i in range(len(a)):
+            s = np.frombuffer(blobs[i].as_buffer(), np.uint64)
+            if role[i] == 0:
+                now, head = (a[i], salt[i]), s.copy()
+            elif now == (a[i], salt[i]):
+                yield a[i], node[i], tag[i], salts[i], head, s
+            else:
+                raise RuntimeError("a set arrived without its head's")
 
-    sent = texts.mapInArrow(emit, "a long, salt int, role int, node long, shingles binary")
-    grouped = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+
+def _verified(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """The edges (a, b) whose sets link. members: (id, node)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head = None, np.zeros(0, np.uint64)
+        a, b = [], []
+        for head, node, _, _, x, y in _met(batches):
+            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            if 100 * both >= 80 * (len(x) + len(y) - both):
+                a.append(head)
+                b.append(node)
+            if len(a) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _sets_by_head(docs, members, edges, id_col, text_col, width).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _family_links(family: list[tuple[int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
+    """Linked pairs of different components among (node, component, set): all intersections at once, by a product over the elements that occur twice."""
+    node, comp = (np.array([m[i] for m in family], np.int64) for i in (0, 1))
+    n = np.array([len(m[2]) for m in family], np.int64)
+    names, which, count = np.unique(np.concatenate([m[2] for m in family]), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(family)), n)
+    column = np.cumsum(count > 1) - 1
+    keep = count[which] > 1
+    own, at = own[keep], column[which[keep]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    both = np.zeros((len(family), len(family)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 1024):
+        i, j = np.searchsorted(at, [lo, lo + 1024])
+        part = np.zeros((len(family), 1024), np.float32)
+        part[own[i:j], at[i:j] - lo] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    x, y = np.nonzero(np.triu(100 * both >= 80 * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :]))
+    x, y = node[x], node[y]
+    return np.minimum(x, y).tolist(), np.maximum(x, y).tolist()
+
+
+def _around_heads(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int, family_rows: int = SALT_ROWS // 2, family_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
+    """(links, candidate pairs) among the sets around each head. edges: (a, b, tag), tag the component of b.
+
+    A family of bounded size is compared in one task and gives its links. The sets of a larger one never meet in one task:
+    they are joined by their differences from the head. With D(x) the difference of x from the head, the difference of x
+    and y is that of D(x) and D(y). A linked pair thus needs an overlap of D(x) and D(y) of at least t, half of |D(x)| +
+    |D(y)| - (|x| + |y|) / 9 (if that isn't positive, both link to the head). In any one order of elements, the first common
+    element then lies among the first |D| - t + 1 of both. The order puts what a set adds to its head before what it lacks:
+    copies lack the same elements often, but their own edits are rare. Elements beyond what any partner can need are not
+    even sent.
+    """
+
+    def entries(head: int, x: np.ndarray, family: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for node, tag, y in family:
+            added = y[x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y]
+            lacking = x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x]
+            d = np.concatenate([added, lacking])
+            far = (len(y) + 5 * len(y) // 4) // 9
+            some = d[: len(d) - max(1, len(d) - far) + 1].view(np.int64)
+            same = [np.full(len(some), v, np.int64) for v in (head, node, tag, len(d), len(y))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (same[0], some, same[1], same[2], same[3], same[4], np.arange(len(some)))], names)
+
+    def links(head: int, family: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if len({m[1] for m in family}) > 1:
+            a, b = _family_links(family)
+            zero = pa.array(np.zeros(len(a), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(b, pa.int64()), zero, zero, zero, zero], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, family, held, large = None, np.zeros(0, np.uint64), [], 0, False
+        for head, node, tag, salts, top, y in _met(batches):
+            if head != now:
+                if family:
+                    yield from entries(now, x, family) if large else links(now, family)
+                now, x, family, held, large = head, top, [], 0, salts > 1
+            family.append((node, tag, y.copy()))
+            held += y.nbytes
+            if large or len(family) > family_rows or held > family_bytes:
+                yield from entries(head, x, family)
+                family, held, large = [], 0, True
+        if family:
+            yield from entries(now, x, family) if large else links(now, family)
+
+    names = ["a", "element", "node", "comp", "size", "n", "pos"]
+    found = _sets_by_head(docs, members, edges, id_col, text_col, width).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    found = stored(found, scratch(docs.sparkSession), "families")
+    sure = found.filter("element is null").select("a", F.col("node").alias("b")).distinct()
+    sent = found.filter("element is not null")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: np.ndarray | None = None
         for batch in batches:
-            a, salt, role, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            blobs = batch.column(4)
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                s = np.frombuffer(blobs[i].as_buffer(), np.uint64)
-                if role[i] == 0:
-                    if node[i] == a[i]:
-                        now, head = (a[i], salt[i]), s.copy()
-                    continue
-                if now != (a[i], salt[i]):
-                    raise RuntimeError("an edge's set arrived without its head's")
-                at = np.minimum(np.searchsorted(head, s), max(len(head) - 1, 0))
-                both = int((head[at] == s).sum()) if len(head) else 0
-                ok[i] = 100 * both >= 80 * (len(head) + len(s) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(node[ok])], ["a", "b"])
-
-    return grouped.mapInArrow(compare, "a long, b long").distinct()
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            rows = rows if tail is None else np.concatenate([tail, rows], 1)
+            fresh = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])) + 1
+            cut = int(fresh[-1]) if len(fresh) else 0
+            tail = rows[:, cut:]
+            yield from _pairs(rows[:, :cut])
+        if tail is not None:
+            yield from _pairs(tail)
+
+    return sure, sent.repartition("a", "element").sortWithinPartitions("a", "element").mapInArrow(meet, "a long, b long").distinct()
+
+
+def _pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of entries of one element that pass the position filter; rows are sorted by head and element."""
+    if not rows.shape[1]:
+        return
+    start = np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]))
+    size = np.diff(np.append(start, rows.shape[1]))
+    for s, k in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        node, comp, d, n, pos = rows[2:, s : s + k]
+        for i in range(0, k, 512):
+            left = slice(i, i + 512)
+            for j in range(i, k, 4096):
+                right = slice(j, j + 4096)
+                twice = d[left, None] + d[None, right] - (n[left, None] + n[None, right]) // 9
+                t = (twice + 1) // 2
+                ok = (comp[left, None] != comp[None, right]) & (t > 0) & (pos[left, None] <= d[left, None] - t) & (pos[None, right] <= d[None, right] - t)
+                x, y = np.nonzero(ok)
+                x, y = node[left][x], node[right][y]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -412,9 +577,10 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bytes_per_part: int = 16 << 20) -> DataFrame:
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bytes_per_part: int = 16 << 20, family_rows: int = SALT_ROWS // 2) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of df."""
     spark = df.sparkSession
+    ship(spark)
     folder = scratch(spark)
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_per_part)))
@@ -424,11 +590,12 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = to_arrow_type(id_field)
     mapped = df.select(id_col, text_col).mapInArrow(_mapped(parts, id_type, width), f"kind int, part int, id {kind}, a long, b long, entries binary, nodes binary, slack binary")
-    reduced = mapped.repartition(parts, "part").mapInArrow(_reduced(id_type), f"kind int, id {kind}, a long, b long, c long")
+    reduced = mapped.repartition(parts, "part").mapInArrow(_reduced(id_type), f"kind int, id {kind}, a long, b long, c long, sketch binary")
     reduced.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/index")
-    index = spark.read.schema(f"id {kind}, a long, b long, c long, kind int").parquet(f"{folder}/index")
+    index = spark.read.schema(f"id {kind}, a long, b long, c long, sketch binary, kind int").parquet(f"{folder}/index")
     members = index.filter("kind = 0").select("id", F.col("a").alias("node"), F.col("b").alias("n"))
-    edges = stored(index.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("w")), folder, "edges")
+    sketches = index.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.first("b").alias("n"), F.first("sketch").alias("sketch"))
+    edges = stored(_possible(index.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("w")), sketches), folder, "edges")
     large = index.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("slack"))
 
     # round one: every node's best edge to a smaller node
@@ -448,16 +615,30 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.union(stored(_verified(df, members, rest, id_col, text_col, width), folder, "links2"))
         comps = components(links, folder, "comps2")
 
-    # round three: pairs within large buckets, of sets without a guarantee elsewhere, between components
-    few = large.groupBy("node").agg(F.count(F.lit(1)).alias("hot"), F.min("slack").alias("slack")).filter("hot > slack").select("node")
-    open_ = large.select("key", "node").join(few, "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    open_ = stored(open_.join(mixed, "key"), folder, "open3")
-    if open_.limit(1).count():
-        x, y = (open_.select("key", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
-        pairs = x.join(y, "key").filter("a < b and ca != cb").select("a", "b").distinct().join(edges, ["a", "b"], "left_anti")
-        links = links.union(stored(_verified(df, members, pairs, id_col, text_col, width), folder, "links3"))
+    # round three: sets without a guarantee elsewhere, in large buckets that still span components
+    busy = large.groupBy("node").agg(F.count(F.lit(1)).alias("hot"), F.min("slack").alias("slack")).filter("hot > slack").select("node", "hot")
+    busy = stored(large.select("key", "node").join(busy, "node"), folder, "busy3")
+
+    def heads(name: str) -> DataFrame:
+        """Edges from the busiest set of each such bucket to its others; tag: the component so far."""
+        rows = busy.join(comps, "node", "left").withColumn("tag", F.coalesce("comp", "node"))
+        best = rows.groupBy("key").agg(F.max_by("node", F.struct("hot", "node")).alias("a"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo != hi").select("key", "a")
+        return stored(rows.join(best, "key").filter("node != a").select("a", F.col("node").alias("b"), "tag").distinct(), folder, name)
+
+    spokes = heads("heads3")
+    if spokes.limit(1).count():
+        # once more a star, now to the busiest set, which copies with many edits are more likely to link to
+        ordered = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
+        star = stored(_possible(across(ordered), sketches), folder, "star3")
+        links = links.union(stored(_verified(df, members, star, id_col, text_col, width), folder, "links3"))
         comps = components(links, folder, "comps3")
+        spokes = heads("heads4")
+    if spokes.limit(1).count():
+        sure, pairs = _around_heads(df, members, spokes, id_col, text_col, width, family_rows)
+        pairs = stored(_possible(pairs, sketches), folder, "pairs4")
+        links = links.union(sure).union(stored(_verified(df, members, pairs, id_col, text_col, width), folder, "links4"))
+        # the heads' own edges were all verified above, or in an earlier round
+        comps = components(links, folder, "comps4")
 
     classes = members.join(comps, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("class"))
     smallest = classes.filter("class is not null").groupBy("class").agg(F.min("id").alias("low"))

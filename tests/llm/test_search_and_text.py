@@ -7,16 +7,15 @@ import struct
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece as spm
 from pyspark.sql import functions as F
 
 from keyloom.llm import html_extract, jaccard_join, queries, sentencepiece_codec, topk_search
 from tests.llm.helpers import documents, frame
 from tests.llm.test_native import FOLD, brute_hits, key_of
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
-spm = pytest.importorskip("sentencepiece")
-
 ODD = ["", " ", "  a  b ", "▁x ▁", "\n\n a\tb", "日本語 😀😀 x\x00", "ab" * 3000, "<s> </s> <0x41>", "é" * 5 + "▁▁ ", " ▁", "   x", "a" * 49, " nbsp　wide"]
 
 
@@ -137,8 +136,8 @@ def brute_components(rows):
     return sorted(repr((r[0], len(sets[i]), min(low[root(i)], default=None))) for i, r in enumerate(rows))
 
 
-def got_components(df):
-    return sorted(repr(tuple(r)) for r in jaccard_join.link_components(df).select("doc_id", "n_shingles", "component_id").collect())
+def got_components(df, **how):
+    return sorted(repr(tuple(r)) for r in jaccard_join.link_components(df, **how).select("doc_id", "n_shingles", "component_id").collect())
 
 
 def test_jaccard_components(spark):
@@ -156,6 +155,24 @@ def test_jaccard_components(spark):
     assert got_components(frame(spark, [(5, None, "", "", 0), (4, "", "", "", 0)])) == ["(4, 0, 4)", "(5, 0, 5)"]
 
 
+@pytest.mark.parametrize("family_rows", [2048, 1])
+def test_copies_around_the_threshold(spark, family_rows):
+    """A large group of copies with many edits, few of which link to each other, with and without room for a family in one task."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(r.choice([1, 3, 4, 5, 6])):
+            words[r.randrange(150)] = f"e{r.randrange(30)}"
+        if i % 9 == 0:
+            words = words[: 150 - r.randrange(30)]
+        rows.append((i, " ".join(words), "en", "s", 1))
+    want = brute_components(rows)
+    assert 2 < len({eval(x)[2] for x in want}) < 60
+    assert got_components(frame(spark, rows), family_rows=family_rows) == want
+
+
 def test_shared_passage_does_not_link(spark):
     r = random.Random(9)
     passage = [f"p{i}" for i in range(60)]
@@ -280,7 +297,8 @@ def test_min_cut_is_minimal():
 
 
 def test_pipeline(spark, tmp_path, library):
-    pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as pipeline
+
     rows = [r for r in documents(80) if r[0] is not None][:-1]
     items = [(1, " ".join(rows[10][1].split()[:14])), (2, "nothing like it anywhere in these texts at all, none")]
     frame(spark, rows).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
