@@ -1,7 +1,7 @@
 """Merkle-style hashes over key prefixes, and the difference of two key sets found through them.
 
 Leaf hashes are length-prefixed (key length, key, value), so no two records share an input. A bucket's hash covers its
-leaf hashes in key order. A difference compares bucket hashes first and opens only buckets that differ.
+leaf hashes in key order. A difference compares mergeable bucket digests first and opens only buckets that differ.
 """
 
 from __future__ import annotations
@@ -62,10 +62,18 @@ def update_level(hashes: DataFrame, kv: DataFrame, touched: DataFrame, depth: in
     return hashes.join(dirty, "prefix", "left_anti").unionByName(fresh)
 
 
+def fingerprints(kv: DataFrame, depth: int) -> DataFrame:
+    """(prefix, n, x, y): a mergeable digest of each bucket, for comparing replicas. It combines before the shuffle, so a hot prefix costs no more than others; keys are unique, so no two records cancel out."""
+    parts = (F.octet_length("key"), F.col("key"), F.col("value"))
+    rows = kv.select(bucket_of(F.col("key"), depth).alias("prefix"), F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit(2), *parts).alias("y"))
+    return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+
+
 def diff_buckets(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
-    """Prefixes whose hashes differ or that one side lacks."""
-    x, y = level(a, depth).select("prefix", F.col("hash").alias("ha")), level(b, depth).select("prefix", F.col("hash").alias("hb"))
-    return x.join(y, "prefix", "full_outer").filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("prefix")
+    """Prefixes whose contents differ or that one side lacks."""
+    x = fingerprints(a, depth).select("prefix", F.struct("n", "x", "y").alias("fa"))
+    y = fingerprints(b, depth).select("prefix", F.struct("n", "x", "y").alias("fb"))
+    return x.join(y, "prefix", "full_outer").filter(~F.col("fa").eqNullSafe(F.col("fb"))).select("prefix")
 
 
 def diff(a: DataFrame, b: DataFrame, depth: int | None = None) -> DataFrame:
