@@ -359,9 +359,27 @@ def test_stream_keeps_current(spark, tmp_path):
 
     src = str(tmp_path / "log")
     schema = "source string, txn_id long, seq long, op string, key string, value string"
-    for n, batch in enumerate(([("s", 1, 0, "put", "a", "1"), ("s", 2, 0, "put", "b", "2")], [("s", 3, 0, "del", "a", None), ("s", 4, 0, "put", "c", "3")])):
+    table = changes.CurrentTable(spark, f"file://{tmp_path}/t", schema)
+    assert table.read().count() == 0
+    batches = ([("s", 1, 0, "put", "a", "1"), ("s", 2, 0, "put", "b", "2")], [("s", 3, 0, "del", "a", None), ("s", 4, 0, "put", "c", "3")], [("s", 0, 0, "put", "a", "late"), ("s", 5, 0, "put", "b", "5")])
+    want = ({"a": "1", "b": "2"}, {"b": "2", "c": "3"}, {"b": "5", "c": "3"})
+    for batch, rows_now in zip(batches, want):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
-        q = changes.keep_current(changes.stream_log(spark, src, schema), str(tmp_path / "t"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination()
-        got = {r["key"]: r["value"] for r in changes.current(spark, str(tmp_path / "t"), n).collect()}
-    assert got == {"b": "2", "c": "3"}
+        table.follow(changes.stream_log(spark, src, schema), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        assert {r["key"]: r["value"] for r in table.read().collect()} == rows_now
+        if batch is batches[1]:
+            table.compact()
+            assert {r["key"]: r["value"] for r in table.read().collect()} == rows_now
+
+
+def test_windowed_stream(spark, tmp_path, sf_dir):
+    from keyloom.sources import tables
+    from keyloom.streaming import changes
+
+    log = tables.change_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    src = str(tmp_path / "log")
+    log.orderBy("ts").coalesce(1).write.parquet(src)
+    q = changes.activity(changes.stream_log(spark, src, log.schema)).writeStream.format("memory").queryName("act").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {tuple(r) for r in spark.table("act").collect()}
+    assert got == {tuple(r) for r in changes.activity(log).collect()}
