@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytescan import flat, slices
@@ -43,7 +43,7 @@ from keyloom.llm.common import scratch, ship, stored
 SMALL = 8
 KEY_BITS, MEMBER_BITS = 44, 20
 PIECE = 1 << 20
-TEXT_BYTES = 6 << 20  # shingled at once: their arrays take some twenty times as much
+TEXT_BYTES = 3 << 20  # shingled at once: their arrays take some twenty times as much
 BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 4096
 U = np.uint64
@@ -192,7 +192,7 @@ def differences(n: np.ndarray, high: int) -> np.ndarray:
 
 
 def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, member) of all entries; (set number, slack left) of each member, one for a set and band. Slack -1: no guarantee but by large buckets' pairs."""
+    """(key, member) of all entries; (set number, band and slack left) of each member, one for a set and band. Packed: band << 16 | slack + 1; slack -1: no guarantee but by large buckets."""
     keys, members, owner, slack = [], [], [], []
     by_band: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
@@ -228,7 +228,7 @@ def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
             keys.append(mix(np.full(len(rest), U(k)), 7))
             members.append(rest + used)
         owner.append(np.array(own))
-        slack.append(np.where(near, -1, np.minimum(left, 30000)))
+        slack.append(k << 16 | (np.where(near, -1, np.minimum(left, 30000)) + 1))
         used += len(own)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -270,7 +270,7 @@ def _mapped(parts: int, id_type: pa.DataType, width: int):
                     out[0].append(p)
                     out[1].append(((keys[a:z] << U(MEMBER_BITS)) | local.astype(np.uint64)).tobytes())
                     out[2].append(names[seen].tobytes())
-                    out[3].append(slack[seen].astype(np.int16).tobytes())
+                    out[3].append(slack[seen].astype(np.int32).tobytes())
                     held += len(out[1][-1])
                     if held > 1 << 23:
                         yield _blobs(out, schema, id_type)
@@ -288,7 +288,7 @@ def _blobs(out: list[list], schema: pa.Schema, id_type: pa.DataType) -> pa.Recor
 
 
 def bucket_edges(key: np.ndarray, node: np.ndarray, slack: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Edges (a < b, shared keys), and members of large buckets (key, node, slack)."""
+    """Edges (a < b, shared keys), and members of large buckets (key, node, the bucket's size above the member's band and slack)."""
     order = np.lexsort((node, key))
     key, node, slack = key[order], node[order], slack[order]
     fresh = np.ones(len(key), bool)
@@ -315,7 +315,7 @@ def bucket_edges(key: np.ndarray, node: np.ndarray, slack: np.ndarray) -> tuple[
     first = np.ones(len(x), bool)
     first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     at = np.flatnonzero(first)
-    return (x[at], y[at], np.diff(np.append(at, len(x)))), (key[inside], node[inside], slack[inside])
+    return (x[at], y[at], np.diff(np.append(at, len(x)))), (key[inside], node[inside], np.repeat(size, size)[inside] << 32 | slack[inside].astype(np.int64))
 
 
 def _reduced(id_type: pa.DataType):
@@ -339,7 +339,7 @@ def _reduced(id_type: pa.DataType):
                 e = np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
                 local = (e & U((1 << MEMBER_BITS) - 1)).astype(np.int64)
                 node = np.frombuffer(batch.column(6)[i].as_buffer(), np.int64)
-                slack = np.frombuffer(batch.column(7)[i].as_buffer(), np.int16)
+                slack = np.frombuffer(batch.column(7)[i].as_buffer(), np.int32)
                 held.setdefault(batch.column(1)[i].as_py(), []).append((e >> U(MEMBER_BITS), node[local], slack[local]))
         for p in sorted(held):
             key, node, slack = (np.concatenate(x) for x in zip(*held.pop(p), strict=True))
@@ -577,7 +577,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bytes_per_part: int = 16 << 20, family_rows: int = SALT_ROWS // 2) -> DataFrame:
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bytes_per_part: int = 8 << 20, family_rows: int = SALT_ROWS // 2) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of df."""
     spark = df.sparkSession
     ship(spark)
@@ -596,7 +596,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = index.filter("kind = 0").select("id", F.col("a").alias("node"), F.col("b").alias("n"))
     sketches = index.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.first("b").alias("n"), F.first("sketch").alias("sketch"))
     edges = stored(_possible(index.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("w")), sketches), folder, "edges")
-    large = index.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("slack"))
+    c = F.col("c")
+    large = index.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), F.shiftright(c, 32).alias("size"), F.shiftright(c, 16).bitwiseAND(0xFFFF).alias("band"), (c.bitwiseAND(0xFFFF) - 1).alias("slack"))
 
     # round one: every node's best edge to a smaller node
     best = edges.groupBy("b").agg(F.max_by("a", F.struct("w", F.bitwise_not("a"))).alias("a")).select("a", "b")
@@ -616,23 +617,24 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         comps = components(links, folder, "comps2")
 
     # round three: sets without a guarantee elsewhere, in large buckets that still span components
-    busy = large.groupBy("node").agg(F.count(F.lit(1)).alias("hot"), F.min("slack").alias("slack")).filter("hot > slack").select("node", "hot")
-    busy = stored(large.select("key", "node").join(busy, "node"), folder, "busy3")
-
-    def heads(name: str) -> DataFrame:
-        """Edges from the busiest set of each such bucket to its others; tag: the component so far."""
-        rows = busy.join(comps, "node", "left").withColumn("tag", F.coalesce("comp", "node"))
-        best = rows.groupBy("key").agg(F.max_by("node", F.struct("hot", "node")).alias("a"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo != hi").select("key", "a")
-        return stored(rows.join(best, "key").filter("node != a").select("a", F.col("node").alias("b"), "tag").distinct(), folder, name)
-
-    spokes = heads("heads3")
+    # a set may skip as many of a band's keys as it has slack. All skip the largest buckets first, in one order: of the keys
+    # that two linked sets share, the one last in that order is then skipped by neither
+    of_band = Window.partitionBy("node", "band").orderBy(F.desc("size"), "key")
+    busy = large.withColumn("rank", F.row_number().over(of_band)).filter("rank > slack").withColumn("hot", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    busy = busy.join(comps, "node", "left").select("key", "node", "hot", F.coalesce("comp", "node").alias("tag"))
+    busy = stored(busy, folder, "busy3")
+    head = F.max_by("node", F.struct("hot", "node"))
+    heads = busy.groupBy("key").agg(head.alias("a"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo != hi").select("key", "a")
+    spokes = stored(busy.join(heads, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct(), folder, "spokes3")
     if spokes.limit(1).count():
         # once more a star, now to the busiest set, which copies with many edits are more likely to link to
         ordered = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
         star = stored(_possible(across(ordered), sketches), folder, "star3")
         links = links.union(stored(_verified(df, members, star, id_col, text_col, width), folder, "links3"))
         comps = components(links, folder, "comps3")
-        spokes = heads("heads4")
+        tagged = spokes.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("tag")), "b", "left").withColumn("tag", F.coalesce("tag", "b"))
+        mixed = tagged.groupBy("a").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo != hi").select("a")
+        spokes = stored(tagged.join(mixed, "a").select("a", "b", "tag"), folder, "spokes4")
     if spokes.limit(1).count():
         sure, pairs = _around_heads(df, members, spokes, id_col, text_col, width, family_rows)
         pairs = stored(_possible(pairs, sketches), folder, "pairs4")
