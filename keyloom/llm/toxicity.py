@@ -243,12 +243,15 @@ class Model:
                 hs.append(h)
                 owner.append(doc[rows])
         h, d = np.concatenate(hs), np.concatenate(owner)
+        del hs, owner
         names, which = np.unique(h, return_inverse=True)
+        del h
         pairs = np.unique(which * np.int64(len(texts)) + d)  # a document counts once for a feature, however often it repeats it
         toxic = y[pairs % len(texts)] > 0
         t, c = (np.bincount(pairs[side] // len(texts), minlength=len(names)) for side in (toxic, ~toxic))
         ratio = (t / y.sum()) / ((c + 0.5) / (len(y) - y.sum()))
         self.field = Field(names[(ratio >= lift) & (t >= max(least_docs, 0.015 * y.sum()))])
+        del pairs, which, d, toxic
         rows, feats, lab, n = [], [], [], 0
         for doc, lo, hi, sums in found:
             at, f = self.field.look_up(sums, lo, hi)
@@ -304,7 +307,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), spans
 
 
-def learn(df: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = 1200, max_bytes: int = 1 << 15, seed: int = 5) -> Model:
+def learn(df: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = 800, max_bytes: int = 1 << 14, seed: int = 5) -> Model:
     got = sample_by_label(df, label_col, id_col, text_col, per_label, max_bytes, seed)
     rate = df.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
     return Model(got["text"].to_pylist(), got["label"].to_pylist(), rate)
