@@ -15,7 +15,7 @@ def leaf_hash(key: Column, value: Column) -> Column:
     return F.sha2(F.concat(F.octet_length(k).cast("string").cast("binary"), F.lit(b":"), k, F.coalesce(value.cast("binary"), F.lit(b""))), 256)
 
 
-def leaves(kv: DataFrame) -> DataFrame:
+def record_hashes(kv: DataFrame) -> DataFrame:
     return kv.select("key", "value", leaf_hash(F.col("key"), F.col("value")).alias("hash"))
 
 
@@ -29,7 +29,7 @@ def level(kv: DataFrame, depth: int) -> DataFrame:
     A bucket's hash is over its leaf hashes in key order, so a bucket must fit a task; choose depth so that it does, and
     use `levels` to reach shallower ones from there.
     """
-    rows = leaves(kv).select(bucket_of(F.col("key"), depth).alias("prefix"), "key", "hash")
+    rows = record_hashes(kv).select(bucket_of(F.col("key"), depth).alias("prefix"), "key", "hash")
     return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash")).select("prefix", F.lit(depth).alias("depth"), "n", "hash")
 
 
@@ -41,7 +41,7 @@ def parent_level(hashes: DataFrame, depth: int) -> DataFrame:
 
 
 def levels(kv: DataFrame, depths: list[int]) -> DataFrame:
-    """All levels, deepest first computed from leaves, each shallower one from the one below."""
+    """All levels, deepest first computed from records, each shallower one from the one below."""
     depths = sorted(depths, reverse=True)
     now = level(kv, depths[0])
     out = now
@@ -78,7 +78,7 @@ def diff_buckets(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
 
 def diff(a: DataFrame, b: DataFrame, depth: int | None = None) -> DataFrame:
     """(key, change) from a to b: added, removed or changed. With a depth, only differing buckets are opened."""
-    x, y = leaves(a).select("key", F.col("hash").alias("ha")), leaves(b).select("key", F.col("hash").alias("hb"))
+    x, y = record_hashes(a).select("key", F.col("hash").alias("ha")), record_hashes(b).select("key", F.col("hash").alias("hb"))
     if depth is not None:
         open_ = diff_buckets(a, b, depth)
         x, y = (t.join(open_, bucket_of(F.col("key"), depth) == F.col("prefix"), "left_semi") for t in (x, y))

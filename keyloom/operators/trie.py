@@ -50,7 +50,7 @@ def neighbour_lcp(kv: DataFrame, bounds: list | None = None) -> DataFrame:
 
 
 def dump(kv: DataFrame, longest: int = 64) -> DataFrame:
-    """The trie as rows in depth-first order: branches and leaves."""
+    """The trie as rows in depth-first order: branches and records."""
     branch = branch_nodes(kv, longest).select("prefix", F.lit("branch").alias("kind"), "fanout", F.lit(None).cast(kv.schema["value"].dataType).alias("value"))
     leaf = kv.select(F.col("key").alias("prefix"), F.lit("leaf").alias("kind"), F.lit(0).cast("long").alias("fanout"), "value")
     return branch.unionByName(leaf).orderBy("prefix", "kind")

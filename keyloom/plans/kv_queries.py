@@ -382,7 +382,7 @@ def _other(spark, sf_dir):
 
 @query(f"SELECT key, {HASH.format('o')} AS hash FROM {ORDERS} o")
 def hash_leaf(spark, sf_dir):
-    return hashing.leaves(t.orders(spark, sf_dir)).select("key", "hash")
+    return hashing.record_hashes(t.orders(spark, sf_dir)).select("key", "hash")
 
 
 BUCKETS = f"SELECT substr(key, 1, 10) AS prefix, 10 AS depth, count(*) AS n, sha256(string_agg(h, '' ORDER BY key)) AS hash FROM (SELECT key, {HASH.format('o')} AS h FROM {ORDERS} o) GROUP BY 1"

@@ -110,7 +110,7 @@ def test_diff_and_hashes(spark):
     b = history.upsert(a, frame(spark, {b"007": b"w", b"x": b""}))
     assert {(bytes(r["key"]), r["change"]) for r in hashing.diff(a, b, 2).collect()} == {(b"007", "changed"), (b"x", "added")}
     # the boundary between key and value is part of the hash
-    h = hashing.leaves(frame(spark, {b"ab": b"c", b"a": b"bc"})).select("hash").distinct()
+    h = hashing.record_hashes(frame(spark, {b"ab": b"c", b"a": b"bc"})).select("hash").distinct()
     assert h.count() == 2
     assert {r["n"] for r in hashing.lookup(hashing.levels(a, [2, 1]), bytearray(b"0")).collect()} == {50}
 
