@@ -1,6 +1,6 @@
 """Operator 3, SentencePiece encoding and decoding with source spans.
 
-A model file holds a compiled character map (a double-array trie over UTF-8 bytes and the strings its leaves name), scored
+A model file holds a compiled character map (a double-array trie over UTF-8 bytes and the strings that its ends name), scored
 pieces and flags. Encoding normalises by the longest prefix that the map knows at each place, recording for every
 normalised character the source bytes it came from; the BPE merges then run over the normalised characters, and every
 piece is projected back to a byte span of the source. Decoding joins pieces, byte pieces and white-space marks as the
