@@ -383,3 +383,34 @@ def test_windowed_stream(spark, tmp_path, sf_dir):
     q.awaitTermination()
     got = {tuple(r) for r in spark.table("act").collect()}
     assert got == {tuple(r) for r in changes.activity(log).collect()}
+
+
+@pytest.mark.parametrize("cut", [False, True])
+@pytest.mark.parametrize("kind", ["binary", "string"])
+def test_trie_of_long_keys(spark, kind, cut):
+    r = random.Random(5)
+    stems = ["s" * 70, "u" * 63, "é" * 90, ""]
+    ks = sorted({s + "".join(r.choice("ab") for _ in range(r.randrange(9))) for s in stems for _ in range(20)}, key=str.encode)
+    if kind == "binary":
+        ks = sorted({*(k.encode() for k in ks), b"\xff" * 80, b"\xff" * 81, b"\xff" * 80 + b"\x00", b"\xff\xff"})
+    kv = spark.createDataFrame([(bytearray(k) if kind == "binary" else k, bytearray(b"v")) for k in ks], f"key {kind}, value binary")
+    want = {}
+    for k in ks:
+        for d in range(len(k) + 1):
+            want.setdefault(k[:d], []).append(k[d : d + 1])
+    want = {(p, len(p), len(set(n)), len(n)) for p, n in want.items()}
+    plain = lambda df: {tuple(bytes(c) if isinstance(c, bytearray) else c for c in x) for x in df.collect()}
+    assert plain(trie.fanout(kv)) == want
+    branches = {x for x in want if x[2] > 1}
+    assert max(d for _, d, _, _ in branches) > 64
+    bounds = [bytearray(k) if kind == "binary" else k for k in ks[1::7]] if cut else []
+    assert plain(trie.branch_nodes(kv, bounds)) == branches
+    size = lambda p: len(p if kind == "binary" else p.encode())
+    assert {(x["n"], x["bytes"]) for x in trie.node_counts(kv).collect() if x["kind"] == "branch"} == {(len(branches), sum(size(p) for p, *_ in branches))}
+    assert plain(trie.dump(kv).filter("kind = 'branch'").select("prefix", "fanout")) == {(p, f) for p, _, f, _ in branches}
+
+
+def test_branches_of_the_longest_keys(spark):
+    n = (1 << 20) - 1
+    kv = frame(spark, {b"k" * n + c: b"" for c in (b"a", b"b")})
+    assert [(len(x["prefix"]), x["depth"], x["fanout"], x["keys"]) for x in trie.branch_nodes(kv).collect()] == [(n, n, 2, 2)]
