@@ -110,11 +110,24 @@ def eligible(log: DataFrame, threshold: int = 50_000, max_age_ms: int = 1000, no
     return log.groupBy("source").agg(F.count(F.lit(1)).alias("writes"), F.max("ts").alias("last_ts"), idle.alias("idle")).filter((F.col("writes") >= threshold) | F.col("idle"))
 
 
-def compact(main: DataFrame, log: DataFrame, policy: Policy = OVERWRITE) -> DataFrame:
-    """main after a source's pending changes: its tombstones first, then its data."""
+def _pending(log: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
+    """Keys that a source's pending tombstones delete, and its data."""
     from keyloom.operators.history import latest
 
     last = latest(log, *(["meta"] if "meta" in log.columns else []))
     meta = F.coalesce("meta", F.lit(b"")) if "meta" in log.columns else F.lit(b"")
     gone = last.filter(F.col("op") == "del").filter(policy.may_delete(F.col("key"), meta)).select("key")
-    return merge(main.join(gone, "key", "left_anti"), last.filter("op = 'put'").select("key", "value"), policy)
+    return gone, last.filter("op = 'put'").select("key", "value")
+
+
+def compact(main: DataFrame, log: DataFrame, policy: Policy = OVERWRITE) -> DataFrame:
+    """main after a source's pending changes: its tombstones first, then its data."""
+    gone, data = _pending(log, policy)
+    return merge(main.join(gone, "key", "left_anti"), data, policy)
+
+
+def compact_stats(main: DataFrame, log: DataFrame, policy: Policy = OVERWRITE) -> DataFrame:
+    """(overwrites, adds, merge_deletes) of compact: records replaced, added and deleted."""
+    gone, data = _pending(log, policy)
+    deleted = main.join(gone, "key", "left_semi").agg(F.count(F.lit(1)).alias("merge_deletes"))
+    return merge_stats(main.join(gone, "key", "left_anti"), data, policy).select("overwrites", "adds").crossJoin(deleted)

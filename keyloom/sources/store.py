@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
@@ -285,18 +286,45 @@ class Db:
         found = reads.get_many(self.snapshot(), allowed)
         out = probes.join(found.select("key", "value").distinct(), "key", "left")
         if type(self.aspect).on_find is not Aspect.on_find:
-            n, hits = found.agg(F.count(F.lit(1)), F.count("value")).first()
+            n, hits, size = found.agg(F.count(F.lit(1)), F.count("value"), F.sum(F.octet_length("value"))).first()
             self.aspect.on_find(n, hits)
+            self._add(reads=hits, bytes_read=size)
         return out
 
+    def seek_next(self, probes: DataFrame) -> DataFrame:
+        """For each probe the record with the least key above it: near_key, near_value."""
+        return self._near(reads.seek_next(self.snapshot(), probes))
+
+    def seek_prev(self, probes: DataFrame) -> DataFrame:
+        """For each probe the record with the greatest key below it."""
+        return self._near(reads.seek_prev(self.snapshot(), probes))
+
+    def _near(self, out: DataFrame) -> DataFrame:
+        """A step for each probe, a read for each record found."""
+        if type(self.aspect).on_navigate is not Aspect.on_navigate:
+            n, hits, size = out.agg(F.count(F.lit(1)), F.count("near_key"), F.sum(F.octet_length("near_value"))).first()
+            self.aspect.on_navigate(n)
+            self._add(reads=hits, bytes_read=size)
+        return out
+
+    def _add(self, **more: int | None) -> None:
+        """More to the aspect's counters, if it has any."""
+        add = getattr(self.aspect, "add", None)
+        if add:
+            add(**more)
+
     def __getitem__(self, key: bytes) -> bytes:
         row = reads.get(self.snapshot(), bytearray(key)).first()
+        self.aspect.on_find(1, int(row is not None))
         if row is None:
             raise KeyError(key)
+        self._add(reads=1, bytes_read=len(row["value"]))
         return bytes(row["value"])
 
     def __contains__(self, key: bytes) -> bool:
-        return reads.get(self.snapshot(), bytearray(key)).first() is not None
+        found = reads.get(self.snapshot(), bytearray(key)).first() is not None
+        self.aspect.on_find(1, int(found))
+        return found
 
     def __len__(self) -> int:
         return self.snapshot().count()
@@ -308,7 +336,12 @@ class Db:
         self.delete(self.spark.createDataFrame([(bytearray(key),)], "key binary"), strict=True)
 
     def __iter__(self):
-        return (bytes(r["key"]) for r in self.snapshot().select("key").orderBy("key").toLocalIterator())
+        return self._walk(self.snapshot().select("key").orderBy("key").toLocalIterator())
+
+    def _walk(self, ordered) -> Iterator[bytes]:
+        for r in ordered:
+            yield bytes(r["key"])
+            self.aspect.on_navigate(1)
 
     def setdefault(self, key: bytes, value: bytes) -> bytes:
         if key not in self:
@@ -352,6 +385,7 @@ class Db:
         out = replication.apply(src.replica(), self.replica(), self._policy(), mode)
         n = {r["change"]: r["count"] for r in replication.hashing.diff(before, out.main).groupBy("change").count().collect()}
         self._fold(out.deletions, out.main, "merge")
+        self._add(adds=n.get("added"), overwrites=n.get("changed"), merge_deletes=n.get("removed"))
         return {"state": "idle", "error": None, "keys_added": n.get("added", 0), "overwritten": n.get("changed", 0), "deleted": n.get("removed", 0)}
 
     # maintenance ---------------------------------------------------------------------------------------------------
@@ -477,8 +511,11 @@ class Db:
         try:
             mine = self.log().filter(F.col("source").isin([*sources, "main"]))
             before = history.snapshot(history.puts(self.base(), self.manifest["base_txn"], "", self.name).select(*LOG.fieldNames()).unionByName(self.log(source="main")))
-            main = merging.compact(before, mine.filter("source != 'main'"), self._policy())
+            side = mine.filter("source != 'main'")
+            main = merging.compact(before, side, self._policy())
+            n = merging.compact_stats(before, side, self._policy()).first().asDict() if hasattr(self.aspect, "add") else {}
             self._fold(None, main, "merge", [*sources, "main"])
+            self._add(**n)
             return sources
         except Exception as e:
             self.merge_error = self.merge_error or e

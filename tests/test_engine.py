@@ -414,3 +414,35 @@ def test_branches_of_the_longest_keys(spark):
     n = (1 << 20) - 1
     kv = frame(spark, {b"k" * n + c: b"" for c in (b"a", b"b")})
     assert [(len(x["prefix"]), x["depth"], x["fanout"], x["keys"]) for x in trie.branch_nodes(kv).collect()] == [(n, n, 2, 2)]
+
+
+def test_counters_of_reads_and_merges(spark, store):
+    m = Metrics()
+    db = store.open("n", aspect=m)
+    db.put(frame(spark, {b"a": b"11", b"b": b"2", b"c": b"333"}))
+    assert db[b"a"] == b"11" and b"z" not in db
+    db.find(keys(spark, [b"c", b"none"]))
+    assert m.ops_snapshot() == {"writes": 3, "bytes_written": 6, "reads": 2, "bytes_read": 5, "deletes": 0}
+    near = {bytes(r["key"]): r["near_key"] and bytes(r["near_key"]) for r in db.seek_next(keys(spark, [b"a", b"c"])).collect()}
+    assert near == {b"a": b"b", b"c": None}
+    assert {bytes(r["near_value"]) for r in db.seek_prev(keys(spark, [b"b"])).collect()} == {b"11"}
+    assert list(db) == [b"a", b"b", b"c"]
+    assert m.nav_snapshot() == {"finds": 4, "finds_hit": 2, "navigations": 6}
+    assert (m.ops_snapshot()["reads"], m.ops_snapshot()["bytes_read"]) == (4, 8)
+
+    m = Metrics()
+    c = store.open("nc", "confluence", m)
+    c.put(frame(spark, {b"k": b"0", b"m": b"0", b"s": b"0"}))
+    with c.begin("w1") as t:
+        t.put(frame(spark, {b"k": b"1", b"s": b"0", b"new": b"1"}))
+        t.delete(keys(spark, [b"m", b"absent"]))
+    assert c.merge_all() == ["w1"] and rows(c.snapshot()) == {b"k": b"1", b"s": b"0", b"new": b"1"}
+    assert c.get_merge_error() is None and m.merge_snapshot() == {"overwrites": 2, "adds": 1, "merge_deletes": 1}
+
+    m = Metrics()
+    x, y = store.open("nx", "replicated"), store.open("ny", "replicated", m)
+    x.put(frame(spark, {b"%d" % i: b"a" for i in range(4)}))
+    y.put(frame(spark, {b"0": b"a", b"3": b"b"}))
+    x.delete(keys(spark, [b"0"]))
+    y.receive(x)
+    assert m.merge_snapshot() == {"overwrites": 1, "adds": 2, "merge_deletes": 1}
