@@ -55,3 +55,9 @@ def test_scan_is_pushed_down(spark, sf_dir, capsys):
     assert "GreaterThanOrEqual(p_brand,Brand#1)" in plan and "LessThan(p_brand,Brand#2)" in plan
     reads.scan_from(kv, "Brand#1", 5).explain("formatted")
     assert "TakeOrderedAndProject" in capsys.readouterr().out
+
+
+def test_long_values_come_back_whole(spark, tmp_path):
+    values = ["v" * 5000, "é" * 1500, ""]
+    spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {r["value"] for r in kv_queries.queries()["transform_roundtrip"](spark, str(tmp_path)).collect()} == set(values)
