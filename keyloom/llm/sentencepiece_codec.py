@@ -8,7 +8,8 @@ sentencepiece library does.
 
 Merges cannot cross the start of a white-space run if no piece holds a white-space mark after another character, nor the
 place between a letter and a full stop or comma if no piece holds the two in a row. The model is asked once; where that
-holds, texts are cut there and the result of each distinct word is kept in a bounded cache.
+holds, texts are cut there and the result of each distinct word is kept in a bounded cache. Where moreover the character map is
+empty and white space is not squeezed, the source itself is cut, and each distinct word is normalised and aligned by itself.
 
 Defined cases: a null text is empty; an empty text has only the begin and end ids; very long texts are handled whole, in
 time n log n even without white space; repeated rows give equal rows; empty tables give empty results.
@@ -89,7 +90,6 @@ class Codec:
         self.ranks = {p: -self.scores[i] for p, i in self.ids.items()}
         self.unused = UNUSED in self.types
         self.plain = [p.replace(MARK, " ") for p in self.pieces]  # a piece as decoded within a text
-        self.widths = [len(p.encode()) for p in self.plain]  # and its source bytes where normalisation is the identity
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.users = sorted((p for p, i in self.ids.items() if self.types[i] == USER), key=len, reverse=True)
@@ -99,14 +99,15 @@ class Codec:
         stops = re.escape("".join(c for c in ".,;:!?" if not any(a.isalpha() and b == c for p in self.ids for a, b in zip(p, p[1:], strict=False))))
         word = f"{MARK}*+[{LETTERS}]++(?=[{stops}])|" if stops else ""
         self.cut = re.compile(f"{word}{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.source_cut = re.compile(self.cut.pattern.replace(MARK, " "))
         self.words: dict[str, tuple[bytes, bytes, str]] = {}
         self.older: dict[str, tuple[bytes, bytes, str]] = {}  # the generation before, so that a full cache keeps what is in use
         self.cache_size = cache_size
 
     # normalisation -------------------------------------------------------------------------------------------------
 
-    def normalize(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text and, for each of its characters and its end, the byte of the source where it begins."""
+    def normalize(self, text: str, inner: bool = False) -> tuple[str, list[int]]:
+        """The normalised text and, for each of its characters and its end, the byte of the source where it begins. inner: a part of a text, without the dummy prefix."""
         data = text.encode()
         out: list[str] = []
         start: list[int] = []
@@ -131,7 +132,7 @@ class Codec:
                 at += n
         if at >= end:
             return "", [end]
-        if self.dummy and not self.suffix:
+        if self.dummy and not self.suffix and not inner:
             out.append(space)
             start.append(at)
         spaced = self.squeeze
@@ -229,31 +230,26 @@ class Codec:
                 out.append((i, width))
         return out
 
-    def word(self, normal: str) -> tuple[bytes, bytes, str]:
-        """Ids and source widths as packed integers, and the decoded text, of one cut of a text normalised by identity."""
-        kept = self.older.get(normal)
+    def word(self, raw: str) -> tuple[bytes, bytes, str]:
+        """Ids and source widths as packed integers, and the decoded text, of one cut of a source whose cuts are normalised apart."""
+        kept = self.older.get(raw)
         if kept is None:
-            parts, ids = self.merge(normal), self.ids
-            known = [ids.get(p, -1) for p in parts]
-            if -1 in known:
-                got = self.tokens(normal, [1 if c == MARK else len(c.encode()) for c in normal])
-                known, sizes = [i for i, _ in got], [w for _, w in got]
-                decoded = self.decode(known, first=False)
-            else:
-                widths, plain = self.widths, self.plain
-                sizes = [widths[i] for i in known]
-                decoded = "".join([plain[i] for i in known])
-            kept = array("I", known).tobytes(), array("I", sizes).tobytes(), decoded
-        if len(normal) <= 48:
+            normal, starts = self.normalize(raw, inner=True)
+            got = self.tokens(normal, [b - a for a, b in zip(starts, starts[1:], strict=False)])
+            known = [i for i, _ in got]
+            plain = self.unk not in known and self.byte_of.keys().isdisjoint(known)
+            decoded = "".join([self.plain[i] for i in known]) if plain else self.decode(known, first=False)
+            kept = array("I", known).tobytes(), array("I", [w for _, w in got]).tobytes(), decoded
+        if len(raw) <= 48:
             if len(self.words) >= self.cache_size:
                 self.words, self.older = {}, self.words
-            self.words[normal] = kept
+            self.words[raw] = kept
         return kept
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, from, to) without begin and end ids; spans are bytes of the text."""
         if self.identity and MARK not in text:
-            packed, widths, _ = self._identity(text)
+            packed, widths, _ = self._by_word(text)
             ids, sizes = np.frombuffer(packed, "<u4"), np.frombuffer(widths, "<u4").astype(np.int64)
             sizes[:1] -= 1  # the dummy prefix has no source
             to = np.cumsum(sizes)
@@ -270,11 +266,12 @@ class Codec:
         to = (starts[0] if len(starts) > 1 else 0) + np.cumsum(sizes)
         return np.array([i for i, _ in got], np.uint32), to - sizes, to
 
-    def _identity(self, text: str) -> tuple[bytes, bytes, list[str]]:
+    def _by_word(self, text: str) -> tuple[bytes, bytes, list[str]]:
+        """The dummy prefix counts as a blank before the text."""
         if not text:
             return b"", b"", []
         word = self.word
-        got = [self.words.get(c) or word(c) for c in self.cut.findall(MARK + text.replace(" ", MARK))]
+        got = [self.words.get(c) or word(c) for c in self.source_cut.findall(" " + text)]
         return b"".join([g[0] for g in got]), b"".join([g[1] for g in got]), [g[2] for g in got]
 
     # decoding ------------------------------------------------------------------------------------------------------
@@ -312,7 +309,7 @@ class Codec:
         """(number of ids, sha256 of the ids, sha256 of the decoded text, source bytes under all spans) with begin and end ids."""
         head, tail = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         if self.identity and MARK not in text:
-            packed, widths, parts = self._identity(text)
+            packed, widths, parts = self._by_word(text)
             covered = int(np.frombuffer(widths, "<u4").sum()) - 1 if text else 0
             # decode(ids) word by word: only the mark that begins the whole text is dropped
             decoded = "".join(parts)[1:] if text else ""

@@ -106,6 +106,21 @@ def test_longest_prefix_normalisation_and_alignment():
     assert normal == "▁xafi" and starts == [0, 0, 2, 3, 3, 6]
 
 
+def test_main_path_normalises_each_distinct_cut(library):
+    c = sentencepiece_codec.Codec(queries.piece_model())
+    walked, whole = [], c.normalize
+    c.normalize = lambda text, *more, **how: walked.append(text) or whole(text, *more, **how)
+    text = "the cat, the  café the cat 日本"
+    assert c.identity
+    first, again = c.digest(text), c.digest(text)
+    assert first == again and len(walked) == len(set(walked)) and set(c.source_cut.findall(" " + text)) == set(walked)
+    ids, lo, hi = c.encode(text)
+    assert [c.bos, *ids.tolist(), c.eos] == library.encode(text, add_bos=True, add_eos=True)
+    # spans are those of the whole text's walk
+    c.identity = False
+    assert [x.tolist() for x in c.encode(text)] == [ids.tolist(), lo.tolist(), hi.tolist()]
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------------
 
 
