@@ -3,7 +3,7 @@
 A document is its set of distinct 5-word shingles, as 64-bit hashes. Sets of one size band share a partition of the hash
 universe into m segments. Two sets that link (Jaccard at least 0.8) differ in at most H elements, H known from their sizes,
 so they agree exactly on all but H segments. Each set is indexed once for every non-empty segment by a hash of the subset
-that falls into it. Costs decide the allocation: in the bands of the smallest sets, and for sets with so many empty
+that falls into it. A fixed rule decides the allocation: in the bands of the smallest sets, and for sets with so many empty
 segments that the guarantee would rest on those, the one-deletion neighbourhoods of the subsets are indexed as well (a
 segment then counts twice), and where even that can't carry the guarantee the set joins its band's remainder bucket.
 Elsewhere m exceeds H + 1 by a slack, which pays for empty segments and for skipping hot ones.
