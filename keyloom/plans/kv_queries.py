@@ -350,6 +350,16 @@ def confluence_fold_greater(spark, sf_dir):
     return merging.fold(log, merging.Policy(may_overwrite=lambda k, old, new: new > old))
 
 
+WRITERS_LOG = f"(SELECT lpad(CAST(CAST(key AS BIGINT) // 8 AS VARCHAR), 8, '0') AS key, source, txn_id, op, value FROM {LOG})"
+
+
+@query(_sql["confluence_fold_greater"].replace(FOLD_LOG, WRITERS_LOG))
+def confluence_fold_writers(spark, sf_dir):
+    """The same policy where each key has changes of up to eight writers."""
+    log = t.change_log(spark, sf_dir).withColumn("key", codec.padded(F.floor(F.col("key").cast("long") / 8), 8))
+    return merging.fold(log, merging.Policy(may_overwrite=lambda k, old, new: new > old))
+
+
 @query(f"SELECT source, count(*) AS writes, max(ts) AS last_ts, max(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR AS idle FROM {LOG} GROUP BY source HAVING count(*) >= 1200 OR max(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 6 HOUR")
 def confluence_eligible(spark, sf_dir):
     return merging.eligible(t.change_log(spark, sf_dir), 1200, 6 * 3_600_000, F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))

@@ -61,3 +61,9 @@ def test_long_values_come_back_whole(spark, tmp_path):
     values = ["v" * 5000, "é" * 1500, ""]
     spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     assert {r["value"] for r in kv_queries.queries()["transform_roundtrip"](spark, str(tmp_path)).collect()} == set(values)
+
+
+def test_fold_writers_share_keys(con):
+    shared = con.execute(f"SELECT count(*) FILTER (WHERE n > 1) FROM (SELECT count(DISTINCT source) AS n FROM {kv_queries.WRITERS_LOG} GROUP BY key)").fetchone()[0]
+    last_change = con.execute(kv_queries.LATEST.format(kv_queries.WRITERS_LOG, "")).fetchall()
+    assert shared > 1 and sorted(con.execute(kv_queries.oracle_sql()["confluence_fold_writers"]).fetchall()) != sorted(last_change)
