@@ -133,6 +133,39 @@ def lower_bound(spark, sf_dir):
     return reads.lower_bound(_third(spark, sf_dir), t.orders(spark, sf_dir).select("key"))
 
 
+# the same over every order key and the whole table; a lengthened key is absent and lies between two
+EVERY = f"(SELECT unnest([key, key || '5']) AS key FROM {ORDERS})"
+
+
+def _every(spark, sf_dir):
+    return t.orders(spark, sf_dir).select(F.explode(F.array("key", F.concat("key", F.lit("5")))).alias("key"))
+
+
+@query(f"SELECT p.key, o.value FROM {EVERY} p LEFT JOIN {ORDERS} o USING (key)")
+def get_many_all(spark, sf_dir):
+    return reads.get_many(t.orders(spark, sf_dir), _every(spark, sf_dir))
+
+
+@query(f"SELECT p.key, o.key IS NOT NULL AS found FROM {EVERY} p LEFT JOIN {ORDERS} o ON o.key = p.key")
+def contains_many_all(spark, sf_dir):
+    return reads.contains_many(t.orders(spark, sf_dir), _every(spark, sf_dir))
+
+
+@query(f"SELECT p.key, n.key AS near_key, n.value AS near_value FROM {EVERY} p ASOF LEFT JOIN {ORDERS} n ON p.key < n.key")
+def seek_next_all(spark, sf_dir):
+    return reads.seek_next(t.orders(spark, sf_dir), _every(spark, sf_dir))
+
+
+@query(f"SELECT p.key, n.key AS near_key, n.value AS near_value FROM {EVERY} p ASOF LEFT JOIN {ORDERS} n ON p.key > n.key")
+def seek_prev_all(spark, sf_dir):
+    return reads.seek_prev(t.orders(spark, sf_dir), _every(spark, sf_dir))
+
+
+@query(f"SELECT p.key, n.key AS near_key, n.value AS near_value FROM {EVERY} p ASOF LEFT JOIN {ORDERS} n ON p.key <= n.key")
+def lower_bound_all(spark, sf_dir):
+    return reads.lower_bound(t.orders(spark, sf_dir), _every(spark, sf_dir))
+
+
 # scans -----------------------------------------------------------------------------------------------------------------
 
 
@@ -221,6 +254,11 @@ def recover_wal(spark, sf_dir):
     return history.replayable(_wal(spark, sf_dir).filter("txn_id > 100")).select("txn_id", "key", "value")
 
 
+@query(_sql["recover_wal"].replace(" AND event_id > 100", ""))
+def recover_wal_all(spark, sf_dir):
+    return history.replayable(_wal(spark, sf_dir)).select("txn_id", "key", "value")
+
+
 @query("SELECT event_id AS txn_id FROM events WHERE event_id % 10 = 5")
 def recover_dangling(spark, sf_dir):
     return history.dangling(_wal(spark, sf_dir))
@@ -544,6 +582,11 @@ def nav_stats(spark, sf_dir):
     return reads.get_many(t.orders(spark, sf_dir), _probes(spark, sf_dir)).agg(F.count(F.lit(1)).alias("finds"), F.count("value").alias("finds_hit"))
 
 
+@query(f"SELECT count(*) AS finds, count(o.value) AS finds_hit FROM {EVERY} p LEFT JOIN {ORDERS} o USING (key)")
+def nav_stats_all(spark, sf_dir):
+    return reads.get_many(t.orders(spark, sf_dir), _every(spark, sf_dir)).agg(F.count(F.lit(1)).alias("finds"), F.count("value").alias("finds_hit"))
+
+
 # structure -------------------------------------------------------------------------------------------------------------
 
 FANOUT = "SELECT substr(key, 1, d) AS prefix, d AS depth, count(DISTINCT substr(key, d + 1, 1)) AS fanout, count(*) AS keys FROM (SELECT key, CAST(unnest(range(0, length(key) + 1)) AS INTEGER) AS d FROM {0}) GROUP BY 1, 2"
