@@ -31,3 +31,19 @@ class WrongValue(KeyloomError):
 
 class WalError(KeyloomError):
     """The change log cannot be read back whole."""
+
+
+class TransactionLost(KeyloomError):
+    """Another handle ended the transaction: its lease was over, or the database was reset."""
+
+
+class Conflict(KeyloomError):
+    """Another handle replaced what the operation started from."""
+
+
+class ReplicationFailed(KeyloomError):
+    """A replication session ended in an error; `code` names its kind."""
+
+    def __init__(self, code: str, reason: str):
+        super().__init__(f"{code}: {reason}")
+        self.code = code

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.errors import KeyTooBig, NotSupported, NoValidPosition, TransactionActive, TypeMismatch, WrongValue
+from keyloom.errors import KeyTooBig, NotSupported, NoValidPosition, TransactionActive, TransactionLost, TypeMismatch, WrongValue
 from keyloom.functions import codec
 from keyloom.functions.aspects import Aspect, Metrics
 from keyloom.operators import hashing, history, merging, reads, replication, trie
@@ -27,8 +27,16 @@ def keys(spark, ks):
     return spark.createDataFrame([(bytearray(k),) for k in ks], "key binary")
 
 
+def prefix_chain(seed, steps):
+    """Keys that each extend an earlier one, all padded to lengths over 500."""
+    r, stems = random.Random(seed), [b""]
+    for _ in range(steps):
+        stems.append(r.choice(stems[-3:]) + bytes(r.choices(b"mnopq", k=r.randrange(1, 3))))
+    return [s + b"7" * 510 for s in sorted(set(stems))]
+
+
 SETS = {
-    "chain": [p.encode() + b"0" * 530 for p in ("a", "ab", "abc", "abcd", "abcde", "abcdef", "abcdeg")],
+    "chain": prefix_chain(11, 9),
     "backward": [b"abca", b"abcb", b"adea", b"adeb"],
     "high": [b"\x00", b"\x7f", b"\x80", b"\xff", b"\xff\xff", b"", b"a\xff", b"b"],
     "even": [b"%06d" % i for i in range(0, 600, 2)],
@@ -193,6 +201,7 @@ def test_random_transactions_against_a_dict(spark, store):
     model: dict[bytes, bytes] = {}
     versions = {}
     for step in range(7):
+        store.lease_seconds = 0 if step == 2 else 600
         t = db.begin()
         mine = dict(model)
         put = {b"%02d" % r.randrange(30): b"%d" % r.randrange(1000) for _ in range(8)}
@@ -210,7 +219,9 @@ def test_random_transactions_against_a_dict(spark, store):
         elif end == "rollback":
             t.rollback()
         elif end == "crash":
-            db = store.open("d")  # recovery drops the open transaction
+            db = store.open("d")  # recovery drops the open transaction, whose lease is over
+            with pytest.raises(TransactionLost):
+                t.commit()
         else:
             t.prepare()
             assert t.prepare() == t.txn_id
@@ -296,6 +307,115 @@ def test_confluence(spark, store):
     assert {r["origin"] for r in db.txns().collect()} >= {"merge"}
 
 
+def test_two_handles_lose_nothing(spark, store):
+    a = store.open("p", "replicated")
+    b = store.open("p", "replicated")
+    a.put(frame(spark, {b"k1": b"1", b"x": b"1"}))
+    b.update()
+    b.put(frame(spark, {b"k2": b"2"}))
+    b.delete(keys(spark, [b"x"]))
+    assert a.purge()[0] == 0
+    b.put(frame(spark, {b"k3": b"3"}))
+    assert a.compact()
+    want = {b"k1": b"1", b"k2": b"2", b"k3": b"3"}
+    assert rows(a.snapshot()) == want
+    b.update()
+    assert rows(b.snapshot()) == want and [bytes(r["key"]) for r in b.deletions().collect()] == [b"x"]
+
+
+def interrupted(db, action, times=1):
+    """Runs action after the first steps of db's next folds, which have read and not yet written by then."""
+    last, left = db._last, [times]
+
+    def then(*args):
+        out = last(*args)
+        if left[0]:
+            left[0] -= 1
+            action()
+        return out
+
+    db._last = then
+
+
+@pytest.mark.parametrize("way", ["compact", "purge", "merge_all"])
+def test_commits_beside_a_fold_stay(spark, store, way):
+    kind = "confluence_replicated"
+    a, b = store.open("f", kind), store.open("f", kind)
+    a.put(frame(spark, {b"m": b"0", b"k": b"0"}))
+    a.put(frame(spark, {b"w": b"1"}), "w1")
+    interrupted(a, lambda: (b.put(frame(spark, {b"k": b"2"}), "w2"), b.delete(keys(spark, [b"m"]), source="w3")))
+    getattr(a, way)()
+    assert a.get_merge_error() is None
+    want = {b"k": b"2", b"w": b"1"}
+    assert rows(a.snapshot()) == want
+    b.update()
+    assert rows(b.snapshot()) == want and b.merge_all() == ["w2", "w3"] and rows(b.snapshot()) == want
+
+
+def test_fold_beside_a_fold_starts_again(spark, store):
+    a, b = store.open("g"), store.open("g")
+    a.put(frame(spark, {b"a": b"1"}))
+    interrupted(a, lambda: (b.put(frame(spark, {b"b": b"2"})), b.compact()))
+    a.compact()
+    assert rows(a.snapshot()) == {b"a": b"1", b"b": b"2"} and all(a.check().values())
+    before = set(a.files.names("g/snapshot"))
+    interrupted(a, b.truncate)
+    a.compact()
+    assert rows(a.snapshot()) == {}
+    assert not a.vacuum() or before - set(a.files.names("g/snapshot"))
+
+
+def test_open_and_vacuum_spare_a_live_transaction(spark, store):
+    db = store.open("l")
+    t = db.begin()
+    t.put(frame(spark, {b"a": b"1"}))
+    other = store.open("l")
+    assert other.vacuum() == [] and t.commit() is True
+    assert t.commit() is False
+    other.update()
+    assert rows(other.snapshot()) == {b"a": b"1"}
+
+
+def test_merging_one_source_keeps_the_order_of_changes(spark, store):
+    db = store.open("o", "confluence")
+    db.put(frame(spark, {b"k": b"0", b"d": b"0", b"e": b"0"}))
+    one, two = db.begin("w1"), db.begin("w2")
+    one.put(frame(spark, {b"k": b"1", b"d": b"1", b"e": b"1"}))
+    two.put(frame(spark, {b"k": b"2"}))
+    two.delete(keys(spark, [b"d"]))
+    two.commit()
+    want = {b"k": b"2", b"e": b"0"}
+    assert rows(db.snapshot()) == want
+    db.set_merge_write_threshold(0)
+    assert db.merge_now() == ["w2"] and rows(db.snapshot()) == want
+    one.commit()
+    assert rows(db.snapshot()) == {b"k": b"2", b"e": b"1"}
+    assert db.merge_all() == ["w1"] and rows(db.snapshot()) == {b"k": b"2", b"e": b"1"}
+    assert db.base().filter("op = 'del'").count() == 0
+
+
+def test_writers_in_threads_get_unique_transactions(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store.open("t", "confluence")
+
+    def work(w):
+        db = store.open("t", "confluence")
+        return [db.put(frame(spark, {b"%d/%d" % (w, i): b"v"}), f"w{w}") for i in range(3)]
+
+    with ThreadPoolExecutor(4) as pool:
+        ids = [x for got in pool.map(work, range(4)) for x in got]
+    db = store.open("t", "confluence")
+    assert len(set(ids)) == 12 and len(db) == 12 and all(db.check().values())
+
+
+def test_old_manifest_versions_go(spark, store):
+    db = store.open("v")
+    for i in range(130):
+        db.set_retention(i)
+    assert 100 <= len(db._versions()) <= 111 and db._load()["retention"] == 129
+
+
 class Tagged(Metrics):
     def on_write(self, key, value):
         return F.concat(F.lit(b"#"), value)
