@@ -23,6 +23,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,13 @@ class CharsMap:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if size else []
         self.strings = blob[4 + size :]
 
+    def first_bytes(self) -> set[int]:
+        """Bytes with which a known prefix can begin."""
+        if not self.units:
+            return set()
+        root = (self.units[0] >> 10) << ((self.units[0] & 0x200) >> 6)
+        return {b for b in range(256) if root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b}
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(length, replacement) of the longest prefix of data[at:] in the map."""
         units = self.units
@@ -100,12 +108,20 @@ class Codec:
         word = f"{MARK}*+[{LETTERS}]++(?=[{stops}])|" if stops else ""
         self.cut = re.compile(f"{word}{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.source_cut = re.compile(self.cut.pattern.replace(MARK, " "))
+        self.runs = self._passing()
         self.words: dict[str, tuple[bytes, bytes, str]] = {}
         self.older: dict[str, tuple[bytes, bytes, str]] = {}  # the generation before, so that a full cache keeps what is in use
         self.cache_size = cache_size
 
     # normalisation -------------------------------------------------------------------------------------------------
 
+    def _passing(self) -> re.Pattern[bytes]:
+        """Runs of characters at whose places neither the map nor a user piece can begin, and which squeezing leaves alone: each passes as it is."""
+        held = self.map.first_bytes() | {u.encode()[0] for u in self.users} | ({32} if self.squeeze else set())
+        kinds = ((0x00, 0x80, b""), (0xC2, 0xE0, rb"[\x80-\xBF]"), (0xE0, 0xF0, rb"[\x80-\xBF]{2}"), (0xF0, 0xF5, rb"[\x80-\xBF]{3}"))
+        ways = [b"[" + b"".join(rb"\x%02x" % b for b in range(lo, hi) if b not in held) + b"]" + more for lo, hi, more in kinds if not held.issuperset(range(lo, hi))]
+        return re.compile(b"(?:" + b"|".join(ways) + b")+") if ways else re.compile(b"(?!)")
+
     def normalize(self, text: str, inner: bool = False) -> tuple[str, list[int]]:
         """The normalised text and, for each of its characters and its end, the byte of the source where it begins. inner: a part of a text, without the dummy prefix."""
         data = text.encode()
@@ -137,6 +153,13 @@ class Codec:
             start.append(at)
         spaced = self.squeeze
         while at < end:
+            if run := self.runs.match(data, at):
+                s = run[0].decode()
+                out.append(s.replace(" ", space))
+                start += range(at, run.end()) if len(s) == run.end() - at else accumulate([at, *(len(c.encode()) for c in s[:-1])])
+                spaced = False
+                at = run.end()
+                continue
             n, s = step(at)
             if spaced and self.squeeze:
                 s = s.lstrip(" ")
@@ -203,22 +226,25 @@ class Codec:
         """The same for a short text: all pairs' ranks in one list, the first smallest of which is merged."""
         rank, none = self.ranks.get, float("inf")
         parts = list(text)
-        cost = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        cost = [rank(text[i : i + 2], none) for i in range(len(text) - 1)]
         while cost and (least := min(cost)) < none:
             i = cost.index(least)
-            parts[i] += parts.pop(i + 1)
+            joined = parts[i] = parts[i] + parts.pop(i + 1)
             del cost[i]
             if i:
-                cost[i - 1] = rank(parts[i - 1] + parts[i], none)
+                cost[i - 1] = rank(parts[i - 1] + joined, none)
             if i < len(cost):
-                cost[i] = rank(parts[i] + parts[i + 1], none)
+                cost[i] = rank(joined + parts[i + 1], none)
         return parts
 
     def tokens(self, normal: str, widths: list[int]) -> list[tuple[int, int]]:
         """(id, source bytes) of each piece; widths: source bytes of each normalised character."""
+        return self._ids(self.merge(normal), widths)
+
+    def _ids(self, parts: list[str], widths: list[int]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         at = 0
-        for piece in self.merge(normal):
+        for piece in parts:
             width = sum(widths[at : at + len(piece)])
             at += len(piece)
             i = self.ids.get(piece, self.unk)
@@ -235,11 +261,18 @@ class Codec:
         kept = self.older.get(raw)
         if kept is None:
             normal, starts = self.normalize(raw, inner=True)
-            got = self.tokens(normal, [b - a for a, b in zip(starts, starts[1:], strict=False)])
-            known = [i for i, _ in got]
-            plain = self.unk not in known and self.byte_of.keys().isdisjoint(known)
-            decoded = "".join([self.plain[i] for i in known]) if plain else self.decode(known, first=False)
-            kept = array("I", known).tobytes(), array("I", [w for _, w in got]).tobytes(), decoded
+            parts = self.merge(normal)
+            known = [*map(self.ids.get, parts)]
+            if None in known:  # unknown characters or their bytes
+                known, widths = zip(*self._ids(parts, [b - a for a, b in zip(starts, starts[1:], strict=False)]), strict=True)
+                decoded = self.decode(known, first=False)
+            else:
+                widths = [*map(len, parts)]
+                if starts[-1] != len(normal):
+                    ends = [starts[i] for i in accumulate(widths)]
+                    widths = [b - a for a, b in zip([0, *ends], ends, strict=False)]
+                decoded = "".join([self.plain[i] for i in known])
+            kept = array("I", known).tobytes(), array("I", widths).tobytes(), decoded
         if len(raw) <= 48:
             if len(self.words) >= self.cache_size:
                 self.words, self.older = {}, self.words
