@@ -1,16 +1,19 @@
 """Operator 2, quality classifier: a byte-level convolutional network in numpy.
 
-Each of `FILTERS` learned filters reads `WIDTH` bytes; as bytes are one-hot, a filter is a table of 256 weights for each
-place and its response a sum of look-ups. Responses are max-pooled over overlapping chunks of 256 bytes (a new one every
+Each of `FILTERS` learned filters reads `WIDTH` bytes, those up to a place; as bytes are one-hot, a filter is a table of 256
+weights for each of them and its response a sum of look-ups. Texts of a batch lie side by side with zero bytes between, as
+many as a filter can read, and all sums run in one fixed order: a document's score depends on its own bytes alone, to the last bit,
+whatever its batch holds. Responses are max-pooled over overlapping chunks of 256 bytes (a new one every
 128) that cover the whole document. A hidden layer turns a chunk's pooled responses into a chunk vector, the chunk vectors
 are max-pooled over the document, and a logistic unit combines them into one probability. Trained by Adam through the
 pooling (gradients reach the places that won).
 
 Training uses a bounded sample: about `per_label` documents a label, none over `max_bytes`, of which each round sees a
-window of at most 2 KiB, sometimes a much shorter one. Scoring covers every byte of every document, in pieces of bounded memory.
+window of at most 2 KiB, sometimes a much shorter one, drawn alike for both labels. Scoring covers every byte of every document, in pieces of bounded memory.
 
 Defined cases: null and empty texts are one chunk of padding and get its score; if only one label, or none, is seen, the
-score is that label's (else 0.5); rows without a label are not learned from; repeated rows get equal scores.
+score is that label's (else 0.5); rows without a label are not learned from; repeated rows get equal scores; other columns
+are never read, so names that clash with `score` do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ BLOCKS_AT_ONCE = 2048
 
 
 def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of each text (chunks fit without rest), chunks of each text, and the first block of each chunk."""
-    blocks = np.maximum(-(-sizes // BLOCK), PER_CHUNK)
+    """Blocks of each text (with WIDTH - 1 zero bytes after it, and so that chunks fit without rest), chunks of each text, and the first block of each chunk."""
+    blocks = np.maximum(-(-(sizes + WIDTH - 1) // BLOCK), PER_CHUNK)
     blocks += (blocks - PER_CHUNK) % STRIDE
     chunks = (blocks - PER_CHUNK) // STRIDE + 1
     start = np.cumsum(blocks) - blocks
@@ -41,15 +44,23 @@ def layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def padded(body: np.ndarray, offsets: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """Texts laid out on block borders, zero bytes after each, and WIDTH more at the end."""
-    out = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
-    start = (np.cumsum(blocks) - blocks) * BLOCK
+    """WIDTH - 1 zero bytes, then the texts, each from a block border on and with zero bytes behind: what the first places of a text read before it are zeros too."""
+    out = np.zeros(int(blocks.sum()) * BLOCK + WIDTH - 1, np.uint8)
+    start = (np.cumsum(blocks) - blocks) * BLOCK + WIDTH - 1
     for i, s in enumerate(start):
         a, b = offsets[i], offsets[i + 1]
         out[s : s + b - a] = body[a:b]
     return out
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, summed in one order whatever the number of rows."""
+    out = x[:, 0, None] * w[0]
+    for k in range(1, x.shape[1]):
+        out += x[:, k, None] * w[k]
+    return out
+
+
 class Network:
     def __init__(self, seed: int = 2):
         r = np.random.default_rng(seed)
@@ -63,19 +74,19 @@ class Network:
         self.constant: float | None = None
 
     def responses(self, x: np.ndarray) -> np.ndarray:
-        """(places, filters) for all places of x but the last WIDTH."""
-        n = len(x) - WIDTH
+        """(places, filters) for all runs of WIDTH bytes of x."""
+        n = len(x) - WIDTH + 1
         out = self.p["filters"][0].take(x[:n], 0)
         for k in range(1, WIDTH):
             out += self.p["filters"][k].take(x[k : n + k], 0)
         return out
 
     def block_peaks(self, x: np.ndarray) -> np.ndarray:
-        n = (len(x) - WIDTH) // BLOCK
+        n = (len(x) - WIDTH + 1) // BLOCK
         out = np.empty((n, FILTERS), np.float32)
         for a in range(0, n, BLOCKS_AT_ONCE):
             z = min(n, a + BLOCKS_AT_ONCE)
-            out[a:z] = self.responses(x[a * BLOCK : z * BLOCK + WIDTH]).reshape(z - a, BLOCK, FILTERS).max(1)
+            out[a:z] = self.responses(x[a * BLOCK : z * BLOCK + WIDTH - 1]).reshape(z - a, BLOCK, FILTERS).max(1)
         return out
 
     def score_texts(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -91,9 +102,9 @@ class Network:
             pooled = peaks[first]
             for k in range(1, PER_CHUNK):
                 np.maximum(pooled, peaks[first + k], out=pooled)
-            vectors = np.tanh(np.maximum(pooled, 0) @ self.p["w1"] + self.p["b1"])
+            vectors = np.tanh(product(np.maximum(pooled, 0), self.p["w1"]) + self.p["b1"])
             best = np.maximum.reduceat(vectors, np.cumsum(chunks) - chunks)
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(best @ self.p["w2"] + self.p["b2"], -30, 30)))
+            out[lo:hi] = 1 / (1 + np.exp(-np.clip(product(best, self.p["w2"][:, None])[:, 0] + self.p["b2"], -30, 30).astype(np.float64)))
         return out
 
     def fit(self, texts: list[bytes], labels: np.ndarray, rounds: int = 14, batch: int = 48, window: int = 2048, rate: float = 0.01, seed: int = 2) -> None:
@@ -111,8 +122,8 @@ class Network:
                 cut = []
                 for i in pick:
                     t = texts[i]
-                    # now and then a short cut of a good text, so that short texts are not foreign
-                    size = window if labels[i] < 1 or r.random() < 0.93 else int(np.exp(r.uniform(np.log(4), np.log(50))))
+                    # now and then a short cut, so that short texts are not foreign
+                    size = window if r.random() < 0.96 else int(np.exp(r.uniform(np.log(8), np.log(100))))
                     at = int(r.integers(0, len(t) - size + 1)) if len(t) > size else 0
                     cut.append(t[at : at + size])
                 grads = self._gradients(cut, labels[pick])

@@ -162,6 +162,43 @@ def test_quality_sees_the_end_of_a_long_document(monkeypatch):
     assert np.allclose(score, net.score_texts(*bytescan.flat(pa.array(texts))), atol=1e-6)
 
 
+def brute_quality(net, text):
+    """One document by plain loops over places, chunks and units."""
+    x = text.encode()
+    blocks = max(-(-(len(x) + quality.WIDTH - 1) // quality.BLOCK), quality.PER_CHUNK)
+    blocks += (blocks - quality.PER_CHUNK) % quality.STRIDE
+    x = bytes(quality.WIDTH - 1) + x + bytes(blocks * quality.BLOCK - len(x))
+    p = net.p
+    near = [sum(p["filters"][k][x[i + k]].astype(float) for k in range(quality.WIDTH)) for i in range(blocks * quality.BLOCK)]
+    best = None
+    for first in range(0, blocks - quality.PER_CHUNK + 1, quality.STRIDE):
+        pooled = np.maximum(np.max(near[first * quality.BLOCK : (first + quality.PER_CHUNK) * quality.BLOCK], 0), 0)
+        chunk = np.tanh(pooled @ p["w1"] + p["b1"])
+        best = chunk if best is None else np.maximum(best, chunk)
+    return float(1 / (1 + np.exp(-(best @ p["w2"] + p["b2"][0]))))
+
+
+def test_quality_equals_brute_force_whatever_the_neighbours():
+    import pyarrow as pa
+
+    r = random.Random(10)
+    net = quality.Network(5)
+    texts = ["", "a", "win $$$ now!!!", "é" * 40, "x" * 64, "y" * 59, "z" * 60, "$" * 256, *("".join(r.choice("ab $!é\n") for _ in range(r.randrange(700))) for _ in range(25))]
+    texts += texts[:3]
+    score = lambda ts: net.score_texts(*bytescan.flat(pa.array(ts, pa.string()))).tolist()
+    got = score(texts)
+    assert got == score(texts[::-1])[::-1] == [score([t])[0] for t in texts]
+    assert got[:3] == got[-3:] and score([None]) == [got[0]]
+    assert np.allclose(got, [brute_quality(net, t) for t in texts], atol=1e-5)
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    df = frame(spark, documents())
+    net = quality.Network(6)
+    scores = lambda d: sorted((str(r.doc_id), r.score) for r in quality.score(d.withColumn("Score", F.lit("x")), net).collect())
+    assert scores(df.repartition(1)) == scores(df.repartition(7)) == scores(df.orderBy(F.desc("doc_id")))
+
+
 def test_gradients():
     net = quality.Network(1)
     texts, y = [b"hello world " * 30, b"### !!! " * 20, b"x"], np.array([1, 0, 1], np.float32)
