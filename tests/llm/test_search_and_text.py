@@ -241,30 +241,70 @@ def test_contraction_of_a_path(spark, tmp_path):
 # 8 -----------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_top_k(spark, block):
+def brute_top(rows, is_query, k=10):
+    """{(query id, query, rank): (id, exact score)} with whole numbers of any size."""
+    ints = [(i, tuple(int(np.floor(1024 * float(np.float32(x)))) if abs(x) < 1e9 else int(1024 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for i, v in set(ints):
+        if is_query(i):
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ints if j != i and len(w) == len(v))[:k]
+            want += [(i, n + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(scores)]
+    return sorted(want)
+
+
+def got_top(q, is_query, **how):
+    return sorted(tuple(x) for x in topk_search.top_k(q.filter(is_query), q, 10, **how).collect())
+
+
+@pytest.mark.parametrize("how", [{}, {"pilots": 20}, {"broadcast_bytes": 0, "group_bytes": 3000, "pilots": 30}, {"broadcast_bytes": 0, "pilots": 1}])
+def test_top_k(spark, how):
     r = random.Random(6)
     rows = [(i, [r.choice([-0.5, 0.25, r.random()]) for _ in range(16)]) for i in range(150)]
     rows += [(150, None), (151, []), (152, [float("nan")] * 16), (153, [None] + [0.1] * 15), (154, [float("inf")] * 16), (155, [0.5] * 4), (156, [0.25] * 4), (None, [0.9] * 16), (7, [1.0] * 16), (157, rows[0][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [rows[10], rows[10], (20, [0.125] * 16), rows[33]]  # repeated queries, a query id with two vectors, a repeated candidate
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("rank", F.lit(1)).withColumn("id", F.lit(2))
     q = topk_search.quantize(df, "vec_id", "embedding")
-    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk_search.top_k(q.filter("id % 5 = 0 and id <> 5"), q, 10, block).collect()}
-    ints = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = {}
-    for i, v in ints:
-        if i % 5 == 0 and i != 5:
-            scores = sorted(((-sum(a * b for a, b in zip(v, w)), j) for j, w in ints if j != i and len(w) == len(v)))[:10]
-            want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(scores)}
-    assert got == want
+    assert got_top(q, "id % 5 = 0", **how) == brute_top(rows, lambda i: i % 5 == 0)
     none = topk_search.quantize(df.filter("false"), "vec_id", "embedding")
-    assert topk_search.top_k(none, none).count() == 0
+    assert topk_search.top_k(none, none, **how).count() == 0 and topk_search.top_k(q.filter("id = 5"), none, **how).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "group_bytes": 4000}])
+def test_top_k_of_large_components_is_exact(spark, how):
+    r = random.Random(7)
+    rows = [(0, [3e6, 3e6 + 1, 3e6 + 3]), (1, [3e6, 3e6 + 1, 3e6 + 2]), (2, [1.0, 2.0, 3.0]), (3, [-3e6, -3e6, 1.0]), (100, [1e200, -1e200, 1e3]), (101, [1e200, -1e200, -1e3]), (102, [-1e250, 0.0, 0.0])]
+    rows += [(200 + i, [1e5 + r.random() for _ in range(64)]) for i in range(40)] + [(300 + i, [1e6 * r.random() for _ in range(64)]) for i in range(40)] + [(400 + i, [r.random() for _ in range(64)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = topk_search.quantize(df, "vec_id", "embedding")
+    scaled = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = []
+    for i, v in scaled.items():
+        if i % 10 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in scaled.items() if j != i and len(w) == len(v))[:10]
+            want += [(i, n + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(scores)]
+    assert got_top(q, "id % 10 = 0", **how) == sorted(want)
 
 
-def test_bounds_hold():
+def test_bounds_hold_and_prune():
     r = np.random.default_rng(1)
     x, y = r.normal(size=(50, 33)), r.normal(size=(40, 33))
     for s in topk_search.resolutions(33):
         assert (topk_search.statistics(x, s) @ topk_search.statistics(y, s).T >= x @ y.T - 1e-9).all()
+    share = {}
+    flat = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    loose = flat(r.normal(size=(20_000, 64)))
+    steps = flat(np.repeat(r.normal(size=(20_000, 4)), 16, 1) + 0.05 * r.normal(size=(20_000, 64)))
+    for name, v in (("unstructured", loose), ("smooth", steps)):
+        v = np.floor(1024 * v)
+        block = topk_search.Block(np.arange(20), v[:20], 10)
+        for at in range(0, len(v), 2048):
+            block.add(topk_search.Rows(np.arange(at, min(at + 2048, len(v))), v[at : at + 2048]))
+        for i in range(20):
+            score = v @ v[i]
+            score[i] = -np.inf
+            assert block.best[i] == sorted((-int(s), int(j)) for j, s in enumerate(score) if j != i)[:10]
+        share[name] = block.scored / block.pairs
+    assert share["smooth"] < 0.15 and share["unstructured"] < 0.6, share
 
 
 # 9 -----------------------------------------------------------------------------------------------------------------------
