@@ -24,6 +24,7 @@ import struct
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from keyloom.llm.common import ship
 MARK = "▁"
 TEXT_BYTES = 4 << 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+IDS, WIDTHS, DECODED, COVERED = map(itemgetter, range(4))  # of what a word gives
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -109,8 +111,8 @@ class Codec:
         self.cut = re.compile(f"{word}{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.source_cut = re.compile(self.cut.pattern.replace(MARK, " "))
         self.runs = self._passing()
-        self.words: dict[str, tuple[bytes, bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, bytes, str]] = {}  # the generation before, so that a full cache keeps what is in use
+        self.words: dict[str, tuple[bytes, bytes, str, int]] = {}
+        self.older: dict[str, tuple[bytes, bytes, str, int]] = {}  # the generation before, so that a full cache keeps what is in use
         self.cache_size = cache_size
 
     # normalisation -------------------------------------------------------------------------------------------------
@@ -256,8 +258,8 @@ class Codec:
                 out.append((i, width))
         return out
 
-    def word(self, raw: str) -> tuple[bytes, bytes, str]:
-        """Ids and source widths as packed integers, and the decoded text, of one cut of a source whose cuts are normalised apart."""
+    def word(self, raw: str) -> tuple[bytes, bytes, str, int]:
+        """Ids and source widths as packed integers, the decoded text and the sum of the widths, of one cut of a source whose cuts are normalised apart."""
         kept = self.older.get(raw)
         if kept is None:
             normal, starts = self.normalize(raw, inner=True)
@@ -272,7 +274,7 @@ class Codec:
                     ends = [starts[i] for i in accumulate(widths)]
                     widths = [b - a for a, b in zip([0, *ends], ends, strict=False)]
                 decoded = "".join([self.plain[i] for i in known])
-            kept = array("I", known).tobytes(), array("I", widths).tobytes(), decoded
+            kept = array("I", known).tobytes(), array("I", widths).tobytes(), decoded, sum(widths)
         if len(raw) <= 48:
             if len(self.words) >= self.cache_size:
                 self.words, self.older = {}, self.words
@@ -282,8 +284,8 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, from, to) without begin and end ids; spans are bytes of the text."""
         if self.identity and MARK not in text:
-            packed, widths, _ = self._by_word(text)
-            ids, sizes = np.frombuffer(packed, "<u4"), np.frombuffer(widths, "<u4").astype(np.int64)
+            got = self._by_word(text)
+            ids, sizes = np.frombuffer(b"".join(map(IDS, got)), "<u4"), np.frombuffer(b"".join(map(WIDTHS, got)), "<u4").astype(np.int64)
             sizes[:1] -= 1  # the dummy prefix has no source
             to = np.cumsum(sizes)
             return ids, to - sizes, to
@@ -299,13 +301,16 @@ class Codec:
         to = (starts[0] if len(starts) > 1 else 0) + np.cumsum(sizes)
         return np.array([i for i, _ in got], np.uint32), to - sizes, to
 
-    def _by_word(self, text: str) -> tuple[bytes, bytes, list[str]]:
-        """The dummy prefix counts as a blank before the text."""
+    def _by_word(self, text: str) -> list[tuple[bytes, bytes, str, int]]:
+        """What `word` gives for each cut. The dummy prefix counts as a blank before the text."""
         if not text:
-            return b"", b"", []
-        word = self.word
-        got = [self.words.get(c) or word(c) for c in self.source_cut.findall(" " + text)]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got]), [g[2] for g in got]
+            return []
+        cuts = self.source_cut.findall(" " + text)
+        got = [*map(self.words.get, cuts)]
+        if None in got:
+            known = self.words.get
+            got = [g or known(c) or self.word(c) for g, c in zip(got, cuts, strict=True)]
+        return got
 
     # decoding ------------------------------------------------------------------------------------------------------
 
@@ -342,10 +347,10 @@ class Codec:
         """(number of ids, sha256 of the ids, sha256 of the decoded text, source bytes under all spans) with begin and end ids."""
         head, tail = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         if self.identity and MARK not in text:
-            packed, widths, parts = self._by_word(text)
-            covered = int(np.frombuffer(widths, "<u4").sum()) - 1 if text else 0
+            got = self._by_word(text)
+            packed, covered = b"".join(map(IDS, got)), sum(map(COVERED, got)) - bool(got)
             # decode(ids) word by word: only the mark that begins the whole text is dropped
-            decoded = "".join(parts)[1:] if text else ""
+            decoded = "".join(map(DECODED, got))[1:]
         else:
             ids, lo, hi = self.encode(text)
             packed, covered = ids.astype("<u4").tobytes(), int((hi - lo).sum())
