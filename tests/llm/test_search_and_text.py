@@ -336,6 +336,71 @@ def test_extraction_query_shape(spark):
     assert html_extract.extract_texts(df.filter("false"), CLASSIFIER).count() == 0
 
 
+def made_page(r, kind):
+    """(page, its article's blocks), with roles by element, by class, or none at all."""
+    word = lambda: "".join(r.choice("abdeinorstu") for _ in range(r.randrange(2, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + r.choice([".", ".", "!", "?"])
+    para = lambda: " ".join(sentence(r.randrange(4, 14)) if r.random() < 0.7 else sentence(5)[:-1] + ", " + sentence(6) for _ in range(r.randrange(1, 6)))
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(n)) + "</ul>"
+    body = [sentence(6)[:-1], *(sentence(r.randrange(1, 4)) if r.random() < 0.25 else para() for _ in range(r.randrange(4, 10)))]
+    inner = [f"<h1>{body[0]}</h1>", *(f"<p>{x}</p>" for x in body[1:])]
+    if kind == "tags":
+        inner.insert(r.randrange(1, len(inner)), f"<aside><p>{para()}</p></aside>")
+        inner.insert(r.randrange(1, len(inner)), f"<div class='advert'>{para()}</div>")
+        inner.append(f"<section class='user-comments'><p>{para()}</p><p>{para()}</p></section>")
+        return f"<body><header><a href=/>{word()}</a></header><nav>{links(5)}</nav><article>{''.join(inner)}</article><form><p>{sentence(8)}</p></form><footer>&copy; {sentence(4)}</footer></body>", body
+    if kind == "classes":
+        return f"<body><div id=masthead>{word()}</div><div class=nav-bar>{links(6)}</div><div class=cookie-notice><p>{para()}</p></div><div class=post-body><div>{''.join(inner)}</div></div><div class=comments><p>{para()}</p></div><div class=sidebar>{links(4)}<p>{para()}</p></div></body>", body
+    # paragraphs that are links, and links with a few words of text between
+    at = r.randrange(2, len(inner))
+    body[at] = sentence(4)
+    inner[at] = f"<p><a href=/{word()}>{body[at][:-1]}</a>{body[at][-1]}</p>"
+    teasers = "".join(f"<div><a href=/{word()}>{sentence(4)}</a></div><div>{sentence(3)}</div>" for _ in range(4))
+    return f"<body><div>{links(7)}</div><div><div>{''.join(inner)}</div></div><div>{teasers}</div><div>&copy; {word()} | {word()} | {word()}</div></body>", body
+
+
+def test_extraction_of_made_pages():
+    r = random.Random(14)
+    model = html_extract.train([made_page(r, "tags")[0] for _ in range(90)])
+    for kind in ("tags", "classes", "bare"):
+        whole = right = right_alone = blocks = changed = 0
+        for _ in range(60):
+            page, want = made_page(r, kind)
+            whole += html_extract.extract(page, model) == "\n".join(want)
+            held = html_extract.blocks_of(page)
+            odds = model.odds(html_extract.shallow(held)).tolist()
+            keep = html_extract.Graph(held).labels(odds, model.weights)
+            truth = [b.text in want for b in held]
+            blocks += len(held)
+            right += sum(k == t for k, t in zip(keep, truth))
+            right_alone += sum((o > 0) == t for o, t in zip(odds, truth))
+            changed += sum((o > 0) != k for o, k in zip(odds, keep))
+        assert changed and right > right_alone, (kind, right, right_alone)
+        assert whole == 60 or kind == "bare"
+
+
+def test_labels_are_a_least_cost_cut():
+    """Against all labellings of the blocks and elements of small pages."""
+    from itertools import product
+
+    r = random.Random(15)
+    for n in range(12):
+        tag = r.choice(["article", "div", "nav"])
+        page = f"<{tag}><p>{'One two, three. ' * r.randrange(1, 9)}</p><p>x</p></{tag}><div class={r.choice(['ad', 'x', 'content'])}>Some words here.</div>"
+        graph = html_extract.Graph(html_extract.blocks_of(page))
+        odds = CLASSIFIER.odds(html_extract.shallow(graph.blocks)).tolist()
+        size = len(graph.blocks) + len(graph.elements)
+        cost = [*odds, *([0.0] * len(graph.elements))]
+        for at, (own, spoken) in graph.speaks.items():
+            cost[at] = own * len(spoken)
+        edges = [*graph.above, *((i, j, 0.5 * nxt + 0.3 * share) for i, j, nxt, share in graph.near)]
+        total = lambda k: sum(abs(c) for c, x in zip(cost, k) if (c > 0) != x) + sum(w for i, j, w in edges if k[i] != k[j])
+        best = min(product([False, True], repeat=size), key=total)
+        got = graph.labels(odds, (0.5, 0.3))
+        fixed = min((total(got + list(rest)) for rest in product([False, True], repeat=len(graph.elements))))
+        assert fixed == pytest.approx(total(best), abs=0.02)
+
+
 def test_min_cut_is_minimal():
     from itertools import product
 
