@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.sources.shared import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,12 +55,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the session names in spark.checkpoint.dir; a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
+    """A new folder in the session's shared folder, deleted with all that is in it when the application ends."""
+    folder = f"{shared_folder(spark)}/keyloom-{uuid.uuid4().hex}"
+    fs, path = _at(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def _at(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def tables(spark: SparkSession, folder: str) -> list[str]:
+    """The tables of a scratch folder."""
+    fs, path = _at(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(path)]
+
+
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of a scratch folder that nothing reads any more."""
+    for name in names:
+        fs, path = _at(spark, f"{folder}/{name}")
+        fs.delete(path, True)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -66,3 +86,29 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, tag: str, least: int = 4096, share: int = 10_000) -> DataFrame:
+    """left with right's columns, null where it has no row; right has one row a key, left any number.
+
+    Keys with more than `least` and more than a `share`-th of left's rows are at most `share`: their rows of right are
+    broadcast, so the rows of a hot key stay where they are. All others meet by shuffle. tag: two such joins may stand in one plan.
+    """
+    counts = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max(least, (total or 0) // share)
+    if (most or 0) <= limit:
+        return left.join(right, key, "left")
+    more = [c for c in right.columns if c != key]
+    hot = right.join(F.broadcast(counts.filter(F.col("n") > limit).select(key)), key, "left_semi")
+    hot = hot.select(F.col(key).alias(f"__{tag}k"), F.struct(*more).alias(f"__{tag}h"))
+    out = left.join(F.broadcast(hot), F.col(key) == F.col(f"__{tag}k"), "left")
+    # a hot key's rows, and those without a key, are spread and find nothing more
+    settled = F.col(f"__{tag}h").isNotNull() | F.col(key).isNull()
+    out = out.withColumn(f"__{tag}s", F.when(settled, F.pmod(F.monotonically_increasing_id(), F.lit(9973)) + 1).otherwise(0))
+    # always 0, but no literal: it must stay a part of the join's key
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    cold = right.select(F.col(key).alias(f"__{tag}c"), zero.alias(f"__{tag}z"), F.struct(*more).alias(f"__{tag}r"))
+    out = out.join(cold, (F.when(settled, F.lit(None)).otherwise(F.col(key)).eqNullSafe(F.col(f"__{tag}c"))) & (F.col(f"__{tag}s") == F.col(f"__{tag}z")), "left")
+    got = F.coalesce(f"__{tag}h", f"__{tag}r")
+    return out.select(*left.columns, *[got[c].alias(c) for c in more])

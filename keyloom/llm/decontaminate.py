@@ -7,11 +7,14 @@ around words of the broadcast anchor set, at the anchor's offsets. That skips wi
 Each hash hit is verified word for word. Hit intervals of a document are united into hit words; `remove` then drops the
 documents, or cuts the spans out of them.
 
-Both broadcast sets are checked against `broadcast_rows` first; a larger benchmark takes the same joins by shuffle.
+The broadcast sets' bytes are summed first. A benchmark over `broadcast_bytes` is dealt into parts below it, by the hash of
+the window, and the documents are scanned once for each: nothing but hits is ever shuffled, neither words nor texts, so frequent
+words and long documents cost no more there.
 
 Defined cases: words are runs of 0-9, a-z and non-ASCII after lower-casing A-Z; null texts and texts without words have no
 words and no hits; items without words have no windows; items with a null id can hit but are not counted as items; repeated
-documents (same doc_id and text) give one row; null doc_ids are kept; empty tables give empty or clean results.
+documents (same doc_id and text) give one row; null doc_ids are kept; only the id and text columns are read, so names that
+clash with outputs do no harm; `remove` keeps all columns; empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import lower_ascii
+from keyloom.llm.common import lower_ascii, scratch, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,31 +44,35 @@ def benchmark_windows(bench: DataFrame, n: int = 10, id_col: str = "item_id", te
     return items.select("item", gram.alias("gram")).distinct().withColumn("len", F.size("gram"))
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row for each document (id and text): id, tid, n_words, spans (array of [from, to) word intervals, as in `words_of`), items (sorted array)."""
+    spark = docs.sparkSession
     grams = benchmark_windows(bench, n).groupBy("gram", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
     longest = F.array_max(F.transform("gram", lambda w, i: F.struct(F.char_length(w).alias("l"), w.alias("w"), i.alias("i"))))
-    grams = grams.withColumn("a", longest).select("gram", "len", "items", F.col("a.w").alias("anchor"), F.col("a.i").alias("off"), F.xxhash64("gram").alias("g1"), F.xxhash64(F.lit(5), F.col("gram")).alias("g2")).persist()
-    size = grams.count()
-    small = F.broadcast if size <= broadcast_rows else (lambda x: x)
-    anchors = grams.select("anchor", "off", "len").distinct()
-    lookup = grams.select("g1", "g2", "gram", "items")
+    grams = grams.withColumn("a", longest).select("gram", "len", "items", F.col("a.w").alias("anchor"), F.col("a.i").alias("off"), F.xxhash64("gram").alias("g1"), F.xxhash64(F.lit(5), F.col("gram")).alias("g2"))
+    grams = stored(grams, scratch(spark), "grams")
+    size = F.octet_length(F.array_join("gram", " ")) + F.octet_length("anchor") + F.octet_length(F.array_join("items", " ")) + F.size("gram") * 8 + F.size("items") * 8 + 64
+    parts = max(1, -(-(grams.agg(F.sum(size.cast("long"))).first()[0] or 0) // broadcast_bytes))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), words_of(F.col(text_col)).alias("ws"))
-    scanned = base.select("id", "tid", "ws", F.posexplode("ws").alias("p", "w")).join(small(anchors), F.col("w") == F.col("anchor"), "left")
-    # row p = 0 of every document stays, hit or not, and carries its number of words
-    near = scanned.filter(F.col("anchor").isNotNull() | (F.col("p") == 0))
+    scanned = base.select("id", "tid", "ws", F.posexplode("ws").alias("p", "w"))
     start = F.col("p") - F.col("off")
     fits = F.col("anchor").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("ws"))
     window = F.when(fits, F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.coalesce("len", F.lit(0))))
-    windows = near.select("id", "tid", "p", F.when(F.col("p") == 0, n_words_of(F.col("ws"))).alias("n_words"), start.alias("start"), "len", window.alias("win"))
-    windows = windows.withColumn("w1", F.when(F.col("win").isNotNull(), F.xxhash64("win"))).withColumn("w2", F.when(F.col("win").isNotNull(), F.xxhash64(F.lit(5), F.col("win"))))
-    hits = windows.join(small(lookup), (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2")) & (F.col("win") == F.col("gram")), "left")
-    hits = hits.filter(F.col("gram").isNotNull() | (F.col("p") == 0))
-    span = F.when(F.col("gram").isNotNull(), F.struct(F.col("start").alias("from"), (F.col("start") + F.col("len")).alias("to")))
-    found = hits.groupBy("id", "tid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return found
+    found = None
+    for part in range(parts):
+        own = grams if parts == 1 else grams.filter(F.pmod("g2", F.lit(parts)) == part)
+        # row p = 0 of every document stays in the first scan, hit or not, and carries its number of words
+        stays = F.col("p") == 0 if part == 0 else F.lit(False)
+        near = scanned.join(F.broadcast(own.select("anchor", "off", "len").distinct()), F.col("w") == F.col("anchor"), "left").filter(F.col("anchor").isNotNull() | stays)
+        windows = near.select("id", "tid", "p", F.when(F.col("p") == 0, n_words_of(F.col("ws"))).alias("n_words"), start.alias("start"), "len", window.alias("win"))
+        windows = windows.withColumn("w1", F.when(F.col("win").isNotNull(), F.xxhash64("win"))).withColumn("w2", F.when(F.col("win").isNotNull(), F.xxhash64(F.lit(5), F.col("win"))))
+        hits = windows.join(F.broadcast(own.select("g1", "g2", "gram", "items")), (F.col("w1") == F.col("g1")) & (F.col("w2") == F.col("g2")) & (F.col("win") == F.col("gram")), "left")
+        span = F.when(F.col("gram").isNotNull(), F.struct(F.col("start").alias("from"), (F.col("start") + F.col("len")).alias("to")))
+        hits = hits.filter(F.col("gram").isNotNull() | stays).select("id", "tid", "n_words", span.alias("span"), "items")
+        found = hits if found is None else found.unionByName(hits)
+    return found.groupBy("id", "tid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def hit_words(spans):

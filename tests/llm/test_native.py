@@ -135,9 +135,13 @@ def test_decontamination(spark):
     items = bench_items(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, rows).withColumn("n_words", F.lit(0)).withColumn("spans", F.lit(0))
-    for limit in (500_000, 0):
-        hits = decontaminate.find_hits(docs, bench, broadcast_rows=limit)
+    for limit in (64 << 20, 20_000):
+        hits = decontaminate.find_hits(docs, bench, broadcast_bytes=limit)
         no_python(hits)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Generate posexplode") > (1 if limit == 20_000 else 0)
+        # no words and no texts are shuffled, only hits
+        assert "SortMergeJoin" not in plan and not any("ws#" in x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
         tid = {r[0]: (r[1], r[2]) for r in docs.select(F.xxhash64(F.coalesce("text", F.lit(""))), "doc_id", "text").collect()}
         got = {(r.id, tid[r.tid][1] or ""): (r.n_words, r.n, len(r["items"]), ",".join(r["items"])) for r in hits.withColumn("n", decontaminate.hit_words(F.col("spans"))).collect()}
         assert got == brute_hits(rows, items)
