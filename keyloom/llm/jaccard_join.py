@@ -5,7 +5,8 @@ universe into m segments. Two sets that link (Jaccard at least 0.8) differ in at
 so they agree exactly on all but H segments. Each set is indexed once for every non-empty segment by a hash of the subset
 that falls into it. A fixed rule decides the allocation: in the bands of the smallest sets, and for sets with so many empty
 segments that the guarantee would rest on those, the one-deletion neighbourhoods of the subsets are indexed as well (a
-segment then counts twice), and where even that can't carry the guarantee the set joins its band's remainder bucket.
+segment then counts twice). A shared segment of either set is enough, so only pairs that both lack the guarantee are left; such
+sets are also indexed by the first of their elements in hash order, as many as two linked sets must have one in common of.
 Elsewhere m exceeds H + 1 by a slack, which pays for empty segments and for skipping hot ones.
 
 Candidates. Index entries travel as packed blobs (8 bytes an entry), dealt out by hash. A bucket of at most `SMALL` sets
@@ -38,14 +39,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytescan import flat, slices
-from keyloom.llm.common import scratch, ship, stored
+from keyloom.llm.common import discard, join_hot, scratch, ship, stored, tables
 
 SMALL = 8
 KEY_BITS, MEMBER_BITS = 44, 20
 PIECE = 1 << 20
 TEXT_BYTES = 3 << 20  # shingled at once: their arrays take some twenty times as much
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 SALT_ROWS = 4096
+GROUP_ROWS = 1024
 U = np.uint64
 
 _space = np.zeros(256, bool)
@@ -224,9 +226,11 @@ def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
             pick = near[of] & (count[run] >= 2)
             keys.append(mix(total[run[pick]] - v[pick] + place[run[pick]], 6))
             members.append(of[pick] + used)
-            rest = np.flatnonzero(near & (filled + twice < most + 1))
-            keys.append(mix(np.full(len(rest), U(k)), 7))
-            members.append(rest + used)
+            for i in np.flatnonzero(near & (filled + twice < most + 1)).tolist():
+                # linked sets share at least 80 % of either: one of the first n - ceil(0.8 n) + 1 elements
+                first = sets[own[i]][: int(size[i]) - (80 * int(size[i]) + 99) // 100 + 1]
+                keys.append(mix(first + U(k * 0x9FB21C651E98DF25 % (1 << 64)), 7))
+                members.append(np.full(len(first), i + used))
         owner.append(np.array(own))
         slack.append(k << 16 | (np.where(near, -1, np.minimum(left, 30000)) + 1))
         used += len(own)
@@ -384,8 +388,8 @@ def _sets_by_head(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col:
     # any one document of a node stands for its set
     wanted = targets.join(members.filter(F.col("id").isNotNull()).groupBy("node").agg(F.min("id").alias("id")), "node").select(F.col("id").alias("__id"), "node", "targets")
     wanted = stored(wanted, scratch(docs.sparkSession), "wanted")
-    rows, sends = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("targets")), F.lit(0))).first()
-    few = rows <= BROADCAST_ROWS and sends <= 4 * BROADCAST_ROWS
+    held = F.lit(64) + F.size("targets") * 64 + (F.octet_length("__id") if wanted.schema["__id"].dataType.typeName() in ("string", "binary") else F.lit(0))
+    few = (wanted.agg(F.sum(held.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(wanted) if few else wanted, "__id").select("__text", "node", "targets")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +470,7 @@ def _family_links(family: list[tuple[int, int, np.ndarray]]) -> tuple[list[int],
     return np.minimum(x, y).tolist(), np.maximum(x, y).tolist()
 
 
-def _around_heads(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int, family_rows: int = SALT_ROWS // 2, family_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
+def _around_heads(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int, family_rows: int = SALT_ROWS // 2, family_bytes: int = 48 << 20, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """(links, candidate pairs) among the sets around each head. edges: (a, b, tag), tag the component of b.
 
     A family of bounded size is compared in one task and gives its links. The sets of a larger one never meet in one task:
@@ -515,33 +519,56 @@ def _around_heads(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col:
     sure = found.filter("element is null").select("a", F.col("node").alias("b")).distinct()
     sent = found.filter("element is not null")
 
+    return sure, _meeting(sent, group_rows)
+
+
+def _meeting(sent: DataFrame, group_rows: int) -> DataFrame:
+    """Candidate pairs (a, b) among entries (a, element, node, comp, size, n, pos) of one head and element.
+
+    A group of more than `group_rows` entries never meets in one task: it is dealt into parts of about that size, and each two
+    parts meet in a task of their own, which holds one part and streams the other.
+    """
+    per = sent.groupBy("a", "element").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # large groups are at most a group_rows-th of the entries; small ones take one part each
+    large = per.filter((F.col("k") > group_rows) & (F.col("lo") != F.col("hi"))).select("a", "element", F.ceil(F.col("k") / group_rows).cast("int").alias("parts"))
+    some = large.count()
+    large = F.broadcast(large) if some * 48 <= BROADCAST_BYTES else large
+    dealt = sent.join(large, ["a", "element"], "left") if some else sent.withColumn("parts", F.lit(None).cast("int"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("a", "element", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "n", "pos")
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: np.ndarray | None = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(10)])
             rows = rows if tail is None else np.concatenate([tail, rows], 1)
-            fresh = np.flatnonzero((rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])) + 1
+            fresh = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(0)) + 1
             cut = int(fresh[-1]) if len(fresh) else 0
             tail = rows[:, cut:]
             yield from _pairs(rows[:, :cut])
         if tail is not None:
             yield from _pairs(tail)
 
-    return sure, sent.repartition("a", "element").sortWithinPartitions("a", "element").mapInArrow(meet, "a long, b long").distinct()
+    dealt = dealt.repartition("a", "element", "i", "j").sortWithinPartitions("a", "element", "i", "j", "own")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def _pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of entries of one element that pass the position filter; rows are sorted by head and element."""
+    """Pairs of entries of one element (and of two parts of its group) that pass the position filter; rows are sorted by head, element and parts."""
     if not rows.shape[1]:
         return
-    start = np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]))
+    start = np.flatnonzero(np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(0)]))
     size = np.diff(np.append(start, rows.shape[1]))
     for s, k in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        node, comp, d, n, pos = rows[2:, s : s + k]
-        for i in range(0, k, 512):
-            left = slice(i, i + 512)
-            for j in range(i, k, 4096):
-                right = slice(j, j + 4096)
+        i, j = rows[2:4, s]
+        own, node, comp, d, n, pos = rows[4:, s : s + k]
+        # one part against itself, or the first part's entries against the other's
+        first = k if i == j else int((own == i).sum())
+        for p in range(0, first, 512):
+            left = slice(p, min(p + 512, first))
+            for q in range(p if i == j else first, k, 4096):
+                right = slice(q, q + 4096)
                 twice = d[left, None] + d[None, right] - (n[left, None] + n[None, right]) // 9
                 t = (twice + 1) // 2
                 ok = (comp[left, None] != comp[None, right]) & (t > 0) & (pos[left, None] <= d[left, None] - t) & (pos[None, right] <= d[None, right] - t)
@@ -577,7 +604,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
             return labels
 
 
-def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bytes_per_part: int = 8 << 20, family_rows: int = SALT_ROWS // 2) -> DataFrame:
+def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bytes_per_part: int = 8 << 20, family_rows: int = SALT_ROWS // 2, group_rows: int = GROUP_ROWS) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) of every row of df."""
     spark = df.sparkSession
     ship(spark)
@@ -625,7 +652,8 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     busy = stored(busy, folder, "busy3")
     head = F.max_by("node", F.struct("hot", "node"))
     heads = busy.groupBy("key").agg(head.alias("a"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo != hi").select("key", "a")
-    spokes = stored(busy.join(heads, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct(), folder, "spokes3")
+    # a bucket's members meet its head: a hot bucket's rows stay where they are
+    spokes = stored(join_hot(busy, heads, "key", "head").filter("a is not null and node != a").select("a", F.col("node").alias("b")).distinct(), folder, "spokes3")
     if spokes.limit(1).count():
         # once more a star, now to the busiest set, which copies with many edits are more likely to link to
         ordered = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
@@ -636,13 +664,18 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mixed = tagged.groupBy("a").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).filter("lo != hi").select("a")
         spokes = stored(tagged.join(mixed, "a").select("a", "b", "tag"), folder, "spokes4")
     if spokes.limit(1).count():
-        sure, pairs = _around_heads(df, members, spokes, id_col, text_col, width, family_rows)
+        sure, pairs = _around_heads(df, members, spokes, id_col, text_col, width, family_rows, group_rows=group_rows)
         pairs = stored(_possible(pairs, sketches), folder, "pairs4")
         links = links.union(sure).union(stored(_verified(df, members, pairs, id_col, text_col, width), folder, "links4"))
         # the heads' own edges were all verified above, or in an earlier round
         comps = components(links, folder, "comps4")
 
-    classes = members.join(comps, "node", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("class"))
-    smallest = classes.filter("class is not null").groupBy("class").agg(F.min("id").alias("low"))
-    out = classes.join(smallest, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    # classes are found by node, where a group of equal sets is one row; only then do documents meet their node's class
+    nodes = members.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"))
+    nodes = stored(nodes.join(comps, "node", "left").select("node", "low", F.coalesce("comp", "node").alias("class")), folder, "nodes")
+    smallest = stored(nodes.groupBy("class").agg(F.min("low").alias("least")), folder, "smallest")
+    named = stored(join_hot(nodes, smallest, "class", "class").select("node", "least"), folder, "named")
+    keyed = members.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    out = stored(join_hot(keyed, named, "node", "node").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")), folder, "result")
+    discard(spark, folder, *(n for n in tables(spark, folder) if n != "result"))
+    return out

@@ -13,6 +13,7 @@ import sentencepiece as spm
 from pyspark.sql import functions as F
 
 from keyloom.llm import html_extract, jaccard_join, queries, sentencepiece_codec, topk_search
+from keyloom.llm.common import join_hot
 from tests.llm.helpers import documents, frame
 from tests.llm.test_native import FOLD, brute_hits, key_of
 
@@ -170,9 +171,9 @@ def test_jaccard_components(spark):
     assert got_components(frame(spark, [(5, None, "", "", 0), (4, "", "", "", 0)])) == ["(4, 0, 4)", "(5, 0, 5)"]
 
 
-@pytest.mark.parametrize("family_rows", [2048, 1])
-def test_copies_around_the_threshold(spark, family_rows):
-    """A large group of copies with many edits, few of which link to each other, with and without room for a family in one task."""
+@pytest.mark.parametrize("how", [{}, {"family_rows": 1}, {"family_rows": 1, "group_rows": 3}])
+def test_copies_around_the_threshold(spark, how):
+    """A large group of copies with many edits, few of which link to each other, with and without room for a family, or a group, in one task."""
     r = random.Random(12)
     base = [f"w{r.randrange(4000)}" for _ in range(150)]
     rows = []
@@ -185,7 +186,48 @@ def test_copies_around_the_threshold(spark, family_rows):
         rows.append((i, " ".join(words), "en", "s", 1))
     want = brute_components(rows)
     assert 2 < len({eval(x)[2] for x in want}) < 60
-    assert got_components(frame(spark, rows), family_rows=family_rows) == want
+    assert got_components(frame(spark, rows), **how) == want
+
+
+def test_hot_keys_of_a_join_stay_where_they_are(spark):
+    left = spark.createDataFrame([(i, None if i % 10 == 0 else "hot" if i % 3 else f"k{i % 7}") for i in range(400)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1, None), ("k1", 2, "x"), ("k2", None, "y"), ("alone", 3, "z")], "k string, n int, s string")
+    want = {r.i: (r.k, r.n, r.s) for r in left.join(right, "k", "left").collect()}
+    for how in ({"least": 100, "share": 50}, {}, {"least": 10, "share": 50}):
+        out = join_hot(left, right, "k", "t", **how)
+        assert set(out.columns) == {"i", "k", "n", "s"} and {r.i: (r.k, r.n, r.s) for r in out.collect()} == want and out.count() == 400
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = join_hot(left, right, "k", "t", least=100, share=50)._jdf.queryExecution().executedPlan().toString()
+        # settled rows are dealt out by their spreading number
+        assert re.search(r"hashpartitioning\([^\n]*__ts", plan) and "BroadcastHashJoin" in plan, plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sets_without_a_guarantee_meet_by_their_first_elements():
+    """Pairs of sets whose elements all fall into one segment share an entry."""
+    r = np.random.default_rng(3)
+    for size in (5, 9, 13):
+        m = jaccard_join.band(jaccard_join.bands_of(size)[0])[2]
+        one = r.integers(0, (1 << 64) // m - 1, size + 1, dtype=np.uint64)  # the first segment of all bands
+        a, b = np.unique(one[:size]), np.unique(one[1:] if size < 9 else np.append(one[1:size], one[size]))
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        keys, member, owner, slack = jaccard_join.index_entries([a, b])
+        assert set(keys[owner[member] == 0].tolist()) & set(keys[owner[member] == 1].tolist())
+        assert ((slack & 0xFFFF) == 0).any()
+
+
+def test_scratch_tables_go(spark):
+    from keyloom.llm.common import scratch, stored, tables
+
+    folder = scratch(spark)
+    stored(spark.range(3), folder, "a")
+    assert tables(spark, folder) == ["a"]
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    jaccard_join.link_components(frame(spark, documents(20))).count()
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
 
 
 def test_shared_passage_does_not_link(spark):
