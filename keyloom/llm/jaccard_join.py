@@ -39,15 +39,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytescan import flat, slices
-from keyloom.llm.common import discard, join_hot, scratch, ship, stored, tables
+from keyloom.llm.common import discard, give_back, join_hot, scratch, ship, stored, tables
 
 SMALL = 8
 KEY_BITS, MEMBER_BITS = 44, 20
 PIECE = 1 << 20
-TEXT_BYTES = 3 << 20  # shingled at once: their arrays take some twenty times as much
+TEXT_BYTES = 2 << 20  # shingled at once: their arrays take some twenty times as much
 BROADCAST_BYTES = 64 << 20
 SALT_ROWS = 4096
 GROUP_ROWS = 1024
+SENT_BYTES = 4 << 20
 U = np.uint64
 
 _space = np.zeros(256, bool)
@@ -281,6 +282,7 @@ def _mapped(parts: int, id_type: pa.DataType, width: int):
                         out, held = [[], [], [], []], 0
                 if out[0]:
                     yield _blobs(out, schema, id_type)
+        give_back()
 
     return run
 
@@ -350,6 +352,7 @@ def _reduced(id_type: pa.DataType):
             (a, b, w), (key, node, slack) = bucket_edges(key, node, slack)
             yield from rows(1, a, b, w)
             yield from rows(2, key.astype(np.int64) | (np.int64(p) << KEY_BITS), node, slack)
+        give_back()
 
     return run
 
@@ -362,12 +365,15 @@ def _possible(edges: DataFrame, sketches: DataFrame) -> DataFrame:
     edges = edges.select(*kept, "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = len(kept)
-            na, nb = (batch.column(k + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            sa, sb = batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist()
-            ok = [9 * sketch_distance(x, y) <= n for x, y, n in zip(sa, sb, (na + nb).tolist(), strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(kept)
+        k = len(kept)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                na, nb = (batch.column(k + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                sa, sb = batch.column(k + 2).to_pylist(), batch.column(k + 3).to_pylist()
+                ok = [9 * sketch_distance(x, y) <= n for x, y, n in zip(sa, sb, (na + nb).tolist(), strict=True)]
+                yield batch.filter(pa.array(ok, pa.bool_())).select(kept)
+        give_back()
 
     from pyspark.sql.types import StructType
 
@@ -404,10 +410,15 @@ def _sets_by_head(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col:
                 own = np.repeat(np.arange(len(sets)), np.asarray(lists.value_lengths()))
                 flat_t = lists.flatten()
                 blobs = pa.array([s.tobytes() for s in sets], pa.binary())
-                for lo in range(0, len(own), 2000):
-                    k = pa.array(own[lo : lo + 2000])
+                sent_bytes = np.cumsum(np.array([s.nbytes for s in sets], np.int64)[own]) if len(own) else np.zeros(0, np.int64)
+                lo = 0
+                while lo < len(own):
+                    hi = max(lo + 1, min(lo + 2000, int(np.searchsorted(sent_bytes, (sent_bytes[lo - 1] if lo else 0) + SENT_BYTES, "right"))))
+                    k = pa.array(own[lo:hi])
                     t = flat_t.slice(lo, len(k))
+                    lo = hi
                     yield pa.RecordBatch.from_arrays([t.field("a"), t.field("salt"), t.field("role"), t.field("tag"), t.field("salts"), part.column(1).take(k), blobs.take(k)], ["a", "salt", "role", "tag", "salts", "node", "shingles"])
+        give_back()
 
     sent = texts.mapInArrow(emit, "a long, salt int, role int, tag long, salts int, node long, shingles binary")
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
