@@ -24,6 +24,14 @@ class Aspect:
 
     def on_find(self, probes: int, hits: int) -> None: ...
 
+    def on_next(self, steps: int, hits: int) -> None:
+        """Steps towards greater keys, and how many of them reached a record."""
+        self.on_navigate(steps)
+
+    def on_prev(self, steps: int, hits: int) -> None:
+        """Steps towards smaller keys."""
+        self.on_navigate(steps)
+
     def on_navigate(self, steps: int) -> None: ...
 
     def big_meta(self, key: Column, value: Column) -> Column:

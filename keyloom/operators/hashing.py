@@ -62,25 +62,42 @@ def update_level(hashes: DataFrame, kv: DataFrame, touched: DataFrame, depth: in
     return hashes.join(dirty, "prefix", "left_anti").unionByName(fresh)
 
 
-def fingerprints(kv: DataFrame, depth: int) -> DataFrame:
-    """(prefix, n, x, y): a mergeable digest of each bucket, for comparing replicas. It combines before the shuffle, so a hot prefix costs no more than others; keys are unique, so no two records cancel out."""
+def hash_bucket_of(key: Column, buckets: int) -> Column:
+    """A bucket by the key's hash: of even size whatever the keys look like."""
+    return F.pmod(F.xxhash64(key.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def fingerprints(kv: DataFrame, depth: int | None = None, buckets: int | None = None) -> DataFrame:
+    """(prefix, n, x, y): a mergeable digest of each bucket, by key prefix or by the key's hash, for comparing replicas. It combines before the shuffle, so a hot prefix costs no more than others; keys are unique, so no two records cancel out."""
     parts = (F.octet_length("key"), F.col("key"), F.col("value"))
-    rows = kv.select(bucket_of(F.col("key"), depth).alias("prefix"), F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit(2), *parts).alias("y"))
+    bucket = hash_bucket_of(F.col("key"), buckets) if depth is None else bucket_of(F.col("key"), depth)
+    rows = kv.select(bucket.alias("prefix"), F.xxhash64(F.lit(1), *parts).alias("x"), F.xxhash64(F.lit(2), *parts).alias("y"))
     return rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
 
 
+def compared(fa: DataFrame, fb: DataFrame) -> DataFrame:
+    """Prefixes (or buckets) whose digests differ or that one side lacks; the digests may be stored ones."""
+    x, y = fa.select("prefix", F.struct("n", "x", "y").alias("fa")), fb.select("prefix", F.struct("n", "x", "y").alias("fb"))
+    return x.join(y, "prefix", "full_outer").filter(~F.col("fa").eqNullSafe(F.col("fb"))).select("prefix")
+
+
 def diff_buckets(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
     """Prefixes whose contents differ or that one side lacks."""
-    x = fingerprints(a, depth).select("prefix", F.struct("n", "x", "y").alias("fa"))
-    y = fingerprints(b, depth).select("prefix", F.struct("n", "x", "y").alias("fb"))
-    return x.join(y, "prefix", "full_outer").filter(~F.col("fa").eqNullSafe(F.col("fb"))).select("prefix")
+    return compared(fingerprints(a, depth), fingerprints(b, depth))
 
 
-def diff(a: DataFrame, b: DataFrame, depth: int | None = None) -> DataFrame:
-    """(key, change) from a to b: added, removed or changed. With a depth, only differing buckets are opened."""
+def diff(a: DataFrame, b: DataFrame, depth: int | None = None, buckets: int | None = None, digests: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(key, change) from a to b: added, removed or changed.
+
+    With a depth, or a number of hash buckets, only buckets whose digests differ are opened; digests: those of a and b, if they
+    are stored (of the same depth or buckets). Hash buckets are so few that the differing ones are broadcast, and records of
+    equal buckets are dropped where they are read.
+    """
     x, y = record_hashes(a).select("key", F.col("hash").alias("ha")), record_hashes(b).select("key", F.col("hash").alias("hb"))
-    if depth is not None:
-        open_ = diff_buckets(a, b, depth)
-        x, y = (t.join(open_, bucket_of(F.col("key"), depth) == F.col("prefix"), "left_semi") for t in (x, y))
+    if depth is not None or buckets is not None:
+        fa, fb = digests or (fingerprints(a, depth, buckets), fingerprints(b, depth, buckets))
+        open_ = compared(fa, fb)
+        open_, bucket = (open_, bucket_of(F.col("key"), depth)) if depth is not None else (F.broadcast(open_), hash_bucket_of(F.col("key"), buckets))
+        x, y = (t.join(open_, bucket == F.col("prefix"), "left_semi") for t in (x, y))
     change = F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "removed").otherwise("changed")
     return x.join(y, "key", "full_outer").filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("key", change.alias("change"))

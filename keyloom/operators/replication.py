@@ -6,12 +6,18 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.errors import ReplicationFailed
 from keyloom.operators import hashing, merging
 
 RETENTION_SECONDS = 86_400
+#: Digests compared before records are: at most this many rows of each side.
+BUCKETS = 1024
+#: The kinds of error that a session reports.
+ERRORS = {"NONE": 0, "SESSION_MISMATCH": 1, "INVALID_MESSAGE": 2, "INVALID_STATE": 3, "INTERNAL_ERROR": 4, "PAYLOAD_TOO_LARGE": 5, "RESOURCE_LIMIT": 6}
 
 
 @dataclass(frozen=True)
@@ -31,9 +37,12 @@ def tracked_delete(replica: Replica, keys: DataFrame, at: Column, may_delete=Non
     return Replica(replica.main.join(marks.select("key"), "key", "left_anti"), kept.unionByName(marks))
 
 
-def apply(src: Replica, dst: Replica, policy: merging.Policy = merging.OVERWRITE, mode: str = "sticky", depth: int | None = None) -> Replica:
+def apply(src: Replica, dst: Replica, policy: merging.Policy = merging.OVERWRITE, mode: str = "sticky", depth: int | None = None, buckets: int | None = BUCKETS) -> Replica:
     """dst after receiving src: deletions first, then data, against dst's markers from before.
 
+    Digests of hash buckets (or, with a depth, of key prefixes) are compared first, and only records of buckets that differ are
+    compared by key; buckets=None compares all.
+
     mode `sticky`: a key with a marker on dst is not taken again until the marker is purged. mode `lww` (extension): a put
     is taken and drops the marker if the source itself has no marker for the key.
     """
@@ -42,7 +51,7 @@ def apply(src: Replica, dst: Replica, policy: merging.Policy = merging.OVERWRITE
     before = dst.deletions
     new = src.deletions.join(before.select("key"), "key", "left_anti").filter(policy.may_delete(F.col("key"), F.coalesce("meta", F.lit(b""))))
     main = dst.main.join(new.select("key"), "key", "left_anti")
-    same = hashing.diff(main, src.main, depth).filter("change != 'removed'").select("key")
+    same = hashing.diff(main, src.main, depth, buckets).filter("change != 'removed'").select("key")
     changed = src.main.join(same, "key", "left_semi")
     if mode == "sticky":
         held = main.select("key", F.lit(True).alias("__held"))
@@ -75,23 +84,51 @@ def purge_stats(deletions: DataFrame, now: Column, seconds: int = RETENTION_SECO
     return deletions.agg(F.count(F.when(~stays, 1)).alias("purged"), F.min(F.when(stays, F.col("deleted_at"))).alias("oldest_remaining"))
 
 
-def session(src: Replica, dst: Replica, policy: merging.Policy = merging.OVERWRITE, on_progress=None, on_complete=None, on_error=None) -> tuple[Replica, dict]:
-    """apply() as a session with a report: id, state, keys added, overwritten and deleted, bytes. Callbacks run on the driver."""
-    report = {"session_id": uuid.uuid4().hex, "state": "active", "error": None, "started": time.time()}
+def _code(e: Exception) -> str:
+    """The kind of an error: records of the wrong form, a wrong call, a limit, or anything else."""
+    if isinstance(e, ReplicationFailed):
+        return e.code
+    if isinstance(e, (ValueError, TypeError)):
+        return "INVALID_STATE"
+    if isinstance(e, AnalysisException):
+        return "INVALID_MESSAGE"
+    return "RESOURCE_LIMIT" if "OutOfMemory" in str(e) or "maxResultSize" in str(e) else "INTERNAL_ERROR"
+
+
+def session(src: Replica, dst: Replica, policy: merging.Policy = merging.OVERWRITE, on_progress=None, on_complete=None, on_error=None, mode: str = "sticky", max_bytes: int | None = None) -> tuple[Replica, dict]:
+    """apply() as a session with a report: id, state, error and its code, keys added, overwritten and deleted, records and bytes sent.
+
+    on_progress(report) is called after the markers, after the comparison and after the records; on_complete(report) at the end;
+    on_error(report) before an error is raised as ReplicationFailed. More than max_bytes of records are refused.
+    """
+    report = {"session_id": uuid.uuid4().hex, "state": "active", "phase": "start", "error": None, "code": ERRORS["NONE"], "started": time.time(), "records": 0, "bytes": 0}
+
+    def reached(phase: str, rows: DataFrame, *columns: str) -> None:
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
+        n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        report.update(phase=phase, records=report["records"] + n, bytes=report["bytes"] + total)
+        if on_progress:
+            on_progress(dict(report))
+
     try:
-        out = apply(src, dst, policy)
-        change = hashing.diff(dst.main, out.main).groupBy("change").count().collect()
+        out = apply(src, dst, policy, mode)
+        reached("deletions", src.deletions.join(dst.deletions.select("key"), "key", "left_anti"), "key")
+        sent = src.main.join(hashing.diff(dst.main, src.main, buckets=BUCKETS).filter("change != 'removed'").select("key"), "key", "left_semi")
+        change = hashing.diff(dst.main, out.main, buckets=BUCKETS).groupBy("change").count().collect()
         n = {r["change"]: r["count"] for r in change}
-        sent = src.main.join(hashing.diff(dst.main, src.main).filter("change != 'removed'").select("key"), "key", "left_semi")
-        size = sent.agg(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0] or 0
-        report |= {"state": "idle", "keys_added": n.get("added", 0), "overwritten": n.get("changed", 0), "deleted": n.get("removed", 0), "bytes": size}
+        report |= {"keys_added": n.get("added", 0), "overwritten": n.get("changed", 0), "deleted": n.get("removed", 0), "phase": "difference"}
         if on_progress:
-            on_progress(report)
+            on_progress(dict(report))
+        reached("data", sent, "key", "value")
+        if max_bytes is not None and report["bytes"] > max_bytes:
+            raise ReplicationFailed("PAYLOAD_TOO_LARGE", f"{report['bytes']} bytes, {max_bytes} allowed")
+        report["state"] = "idle"
         if on_complete:
             on_complete(report)
         return out, report
     except Exception as e:
-        report |= {"state": "error", "error": str(e)}
+        code = _code(e)
+        report |= {"state": "error", "error": str(e), "code": ERRORS[code]}
         if on_error:
             on_error(report)
-        raise
+        raise e if isinstance(e, ReplicationFailed) else ReplicationFailed(code, str(e)) from e

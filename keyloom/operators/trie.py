@@ -83,8 +83,3 @@ def dump(kv: DataFrame) -> DataFrame:
     leaf = kv.select(F.col("key").alias("prefix"), F.lit("leaf").alias("kind"), F.lit(0).cast("long").alias("fanout"), "value")
     return branch.unionByName(leaf).orderBy("prefix", "kind")
 
-
-def ranked(kv: DataFrame) -> DataFrame:
-    """Rank of each key within its first symbol's subtree."""
-    w = Window.partitionBy(F.substring("key", 1, 1)).orderBy("key")
-    return kv.withColumn("rank", F.row_number().over(w))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import codec
+from keyloom.functions.aspects import Aspect, Metrics
 from keyloom.operators import hashing, history, merging, reads, replication, trie
 from keyloom.sources import tables as t
+from keyloom.sources.store import Db, Store
 from keyloom.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -555,21 +557,66 @@ def veto_delete(spark, sf_dir):
     return out.main
 
 
+class Tagged(Aspect):
+    """A tag before every value, added on write and taken off on read."""
+
+    def on_write(self, key, value):
+        return F.concat(F.lit(b"tag:"), value)
+
+    def on_read(self, key, value):
+        return F.substr(value, F.lit(5))
+
+
+def _db(spark, kind: str = "plain", aspect: Aspect | None = None, kv: DataFrame | None = None) -> Db:
+    """A database of its own, with rows if given."""
+    db = Store.in_memory(spark).open("q", kind, aspect)
+    if kv is not None:
+        db.put(t.binary(kv))
+    return db
+
+
+def _keys(kv: DataFrame) -> DataFrame:
+    return kv.select(F.col("key").cast("binary").alias("key"))
+
+
 @query(f"SELECT key, 'tag:' || value AS stored, value FROM {CUSTOMERS}")
 def transform_roundtrip(spark, sf_dir):
     """A value transformed on write and back on read."""
-    kv = t.customers(spark, sf_dir)
-    written = kv.select("key", F.concat(F.lit("tag:"), "value").alias("stored"))
-    return written.withColumn("value", F.expr("substring(stored, 5)"))
+    db = _db(spark, aspect=Tagged(), kv=t.customers(spark, sf_dir))
+    return t.text(db._raw()).withColumnRenamed("value", "stored").join(t.text(db.snapshot()), "key").select("key", "stored", "value")
 
 
 # metrics ---------------------------------------------------------------------------------------------------------------
 
 
+def _counted(spark, counts: dict[str, int], *names: str) -> DataFrame:
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query(f"SELECT count(*) FILTER (WHERE op = 'put') AS writes, CAST(sum(strlen(value)) FILTER (WHERE op = 'put') AS BIGINT) AS bytes_written, count(*) FILTER (WHERE op = 'del') AS deletes FROM {LOG}")
 def ops_stats(spark, sf_dir):
-    put = F.col("op") == "put"
-    return t.change_log(spark, sf_dir).agg(F.count(F.when(put, 1)).alias("writes"), F.sum(F.when(put, F.octet_length("value"))).alias("bytes_written"), F.count(F.when(~put, 1)).alias("deletes"))
+    m = Metrics()
+    log = t.change_log(spark, sf_dir)
+    with _db(spark, "confluence", m).begin() as txn:
+        txn.put(t.binary(log.filter("op = 'put'")))
+        txn.delete(_keys(log.filter("op = 'del'")))
+    return _counted(spark, m.ops_snapshot(), "writes", "bytes_written", "deletes")
+
+
+@query("SELECT count(*) AS user_started, count(*) FILTER (WHERE r_regionkey % 2 = 0) AS user_committed, count(*) FILTER (WHERE r_regionkey % 2 = 1) AS user_rolled_back, CAST(0 AS BIGINT) AS merge_committed, CAST(1 AS BIGINT) AS defrag_committed FROM region")
+def txn_counters(spark, sf_dir):
+    """A transaction for each region; every other one is rolled back. Then a compaction."""
+    m = Metrics()
+    db = _db(spark, aspect=m)
+    for r in t.read(spark, sf_dir, "region").collect():  # a table of fixed size
+        txn = db.begin()
+        txn.put(spark.createDataFrame([(bytearray(r["r_name"].encode()), bytearray(b"1"))], "key binary, value binary"))
+        if r["r_regionkey"] % 2:
+            txn.rollback()
+        else:
+            txn.commit()
+    db.compact()
+    return _counted(spark, m.txn_snapshot(), "user_started", "user_committed", "user_rolled_back", "merge_committed", "defrag_committed")
 
 
 @query(f"SELECT CASE WHEN event_id % 4 = 0 THEN 'merge' ELSE 'user' END AS origin, {STATE} AS state, count(*) AS n FROM events GROUP BY 1, 2")
@@ -579,12 +626,135 @@ def txn_stats(spark, sf_dir):
 
 @query(f"SELECT count(*) AS finds, count(o.value) AS finds_hit FROM {PROBES} p LEFT JOIN {ORDERS} o USING (key)")
 def nav_stats(spark, sf_dir):
-    return reads.get_many(t.orders(spark, sf_dir), _probes(spark, sf_dir)).agg(F.count(F.lit(1)).alias("finds"), F.count("value").alias("finds_hit"))
+    return _found(spark, sf_dir, _probes(spark, sf_dir))
+
+
+def _found(spark, sf_dir, probes: DataFrame) -> DataFrame:
+    m = Metrics()
+    db = t.compacted(spark, sf_dir, "orders")
+    db.aspect = m
+    db.find(_keys(probes))
+    return _counted(spark, m.nav_snapshot(), "finds", "finds_hit")
 
 
 @query(f"SELECT count(*) AS finds, count(o.value) AS finds_hit FROM {EVERY} p LEFT JOIN {ORDERS} o USING (key)")
 def nav_stats_all(spark, sf_dir):
-    return reads.get_many(t.orders(spark, sf_dir), _every(spark, sf_dir)).agg(F.count(F.lit(1)).alias("finds"), F.count("value").alias("finds_hit"))
+    return _found(spark, sf_dir, _every(spark, sf_dir))
+
+
+@query(f"SELECT 2 * count(*) AS navigations, CAST(2 * (count(*) - 1) AS BIGINT) AS reads FROM {CUSTOMERS}")
+def nav_counters(spark, sf_dir):
+    """A step to the next and one to the previous record from each record; the ends reach none."""
+    m = Metrics()
+    db = t.compacted(spark, sf_dir, "customers")
+    db.aspect = m
+    keys = db.snapshot().select("key")
+    db.seek_next(keys)
+    db.seek_prev(keys)
+    return _counted(spark, m.counts, "navigations", "reads")
+
+
+# databases -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT key, CASE WHEN k % 5 = 0 THEN 'u' || value ELSE value END AS value FROM {ORDERS} WHERE k % 3 <> 0")
+def store_two_handles(spark, sf_dir):
+    """Writes by two handles, a prepared transaction settled after reopening, compaction and vacuum beside them."""
+    kv = t.orders(spark, sf_dir)
+    k = F.col("key").cast("string").cast("long")
+    a = _db(spark, kv=kv)
+    b = a.store.open("q")
+    a.delete(_keys(kv).filter(k % 3 == 0))
+    pending = b.begin()
+    pending.put(t.binary(kv.limit(1).select(F.concat("key", F.lit("x")).alias("key"), "value")))
+    pending.prepare()
+    a.store.open("q").resolve_prepared(commit=False)
+    b.put(t.binary(kv.filter(k % 5 == 0).filter(k % 3 != 0).select("key", F.concat(F.lit("u"), "value").alias("value"))))
+    a.compact()
+    a.vacuum()
+    b.update()
+    return t.text(b.snapshot())
+
+
+@query(f"SELECT key, value FROM {ORDERS} WHERE k % 3 <> 0")
+def store_version(spark, sf_dir):
+    """The version between two transactions."""
+    kv = t.orders(spark, sf_dir)
+    db = _db(spark, kv=kv)
+    then = db.delete(_keys(kv).filter(F.col("key").cast("string").cast("long") % 3 == 0))
+    db.put(t.binary(kv.select("key", F.lit("later").alias("value"))))
+    return t.text(db.snapshot(then))
+
+
+def _tributaries(spark, sf_dir, aspect: Aspect | None = None) -> Db:
+    """Main and two sources: one overwrites, adds and deletes, the other is settled by its transaction's order."""
+    db = _db(spark, "confluence", aspect, _dst(spark, sf_dir))
+    with db.begin("w1") as txn:
+        txn.put(t.binary(_src(spark, sf_dir)))
+        txn.delete(_keys(t.orders(spark, sf_dir)).filter(F.col("key").cast("string").cast("long") % 18 == 1))
+    return db
+
+
+@query(f"SELECT key, CASE WHEN in_s THEN s ELSE d END AS value FROM ({PAIRED}) WHERE CAST(key AS BIGINT) % 18 <> 1")
+def store_confluence(spark, sf_dir):
+    db = _tributaries(spark, sf_dir)
+    db.merge_all()
+    return t.text(db.snapshot())
+
+
+@query(f"SELECT key, CASE WHEN in_s THEN s ELSE d END AS value FROM ({PAIRED}) WHERE CAST(key AS BIGINT) % 18 <> 1")
+def store_tributary_reads(spark, sf_dir):
+    """The same before any merge."""
+    return t.text(_tributaries(spark, sf_dir).snapshot())
+
+
+@query(f"SELECT count(*) FILTER (WHERE in_d AND in_s) AS overwrites, count(*) FILTER (WHERE in_s AND NOT in_d) AS adds, count(*) FILTER (WHERE CAST(key AS BIGINT) % 18 = 1) AS merge_deletes FROM ({PAIRED})")
+def merge_counters(spark, sf_dir):
+    m = Metrics()
+    _tributaries(spark, sf_dir, m).merge_all()
+    return _counted(spark, m.merge_snapshot(), "overwrites", "adds", "merge_deletes")
+
+
+@query(f"SELECT key, CASE WHEN k % 3 <> 0 THEN value ELSE 'b' || value END AS value FROM {ORDERS} WHERE k % 6 <> 2")
+def store_receive(spark, sf_dir):
+    """One replicated database receives from another: deletions first, then records."""
+    kv = t.orders(spark, sf_dir)
+    k = F.col("key").cast("string").cast("long")
+    a = _db(spark, "replicated", kv=kv.filter(k % 3 != 0))
+    b = _db(spark, "replicated", kv=kv.filter(k % 3 != 1).select("key", F.concat(F.lit("b"), "value").alias("value")))
+    a.delete(_keys(kv).filter(k % 6 == 2))
+    b.receive(a)
+    return t.text(b.snapshot())
+
+
+@query(f"SELECT key FROM {ORDERS} WHERE k % 6 = 2")
+def store_markers(spark, sf_dir):
+    kv = t.orders(spark, sf_dir)
+    db = _db(spark, "replicated", kv=kv)
+    db.delete(_keys(kv).filter(F.col("key").cast("string").cast("long") % 6 == 2))
+    db.purge()
+    return t.text(db.deletions().withColumn("value", F.lit(""))).select("key")
+
+
+# scans of a compacted database, which is sorted by key: comparisons reach its Parquet files
+@query(f"SELECT key, value FROM {LINES} WHERE key >= '000000000100' ORDER BY key LIMIT 100")
+def stored_scan_from_100(spark, sf_dir):
+    return t.text(reads.scan_from(t.compacted(spark, sf_dir, "lineitems").snapshot(), b"000000000100", 100))
+
+
+@query(f"SELECT key, value FROM {PARTS} WHERE key >= 'Brand#2' AND key < 'Brand#4'")
+def stored_range_scan(spark, sf_dir):
+    return t.text(reads.between(t.compacted(spark, sf_dir, "parts").snapshot(), b"Brand#2", b"Brand#4"))
+
+
+@query(f"SELECT key, value FROM {PARTS} WHERE starts_with(key, 'Brand#1')")
+def stored_prefix_scan(spark, sf_dir):
+    return t.text(reads.prefix_scan(t.compacted(spark, sf_dir, "parts").snapshot(), b"Brand#1"))
+
+
+@query(f"SELECT key, value FROM {ORDERS} WHERE k = 17")
+def stored_get_one(spark, sf_dir):
+    return t.text(reads.get(t.compacted(spark, sf_dir, "orders").snapshot(), b"000000000017"))
 
 
 # structure -------------------------------------------------------------------------------------------------------------

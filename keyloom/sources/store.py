@@ -338,6 +338,9 @@ class Db:
         return raw.select("key", self.aspect.on_read(F.col("key"), F.col("value")).alias("value"))
 
     def _raw(self, txn_id: int | None = None) -> DataFrame:
+        if txn_id is None and self._plain_merges() and not any(t["paths"] for t in self.manifest["txns"] if t["state"] == "committed"):
+            # all is compacted: a row a key, sorted by key, so that scans prune and nothing is shuffled
+            return self.base().filter("op = 'put'").select("key", "value")
         changes = self.all_changes()
         if txn_id is not None:
             changes = changes.filter(F.col("txn_id") <= txn_id)
@@ -364,17 +367,17 @@ class Db:
 
     def seek_next(self, probes: DataFrame) -> DataFrame:
         """For each probe the record with the least key above it: near_key, near_value."""
-        return self._near(reads.seek_next(self.snapshot(), probes))
+        return self._near(reads.seek_next(self.snapshot(), probes), "on_next")
 
     def seek_prev(self, probes: DataFrame) -> DataFrame:
         """For each probe the record with the greatest key below it."""
-        return self._near(reads.seek_prev(self.snapshot(), probes))
+        return self._near(reads.seek_prev(self.snapshot(), probes), "on_prev")
 
-    def _near(self, out: DataFrame) -> DataFrame:
+    def _near(self, out: DataFrame, hook: str) -> DataFrame:
         """A step for each probe, a read for each record found."""
-        if type(self.aspect).on_navigate is not Aspect.on_navigate:
+        if any(getattr(type(self.aspect), h) is not getattr(Aspect, h) for h in (hook, "on_navigate")):
             n, hits, size = out.agg(F.count(F.lit(1)), F.count("near_key"), F.sum(F.octet_length("near_value"))).first()
-            self.aspect.on_navigate(n)
+            getattr(self.aspect, hook)(n, hits)
             self._add(reads=hits, bytes_read=size)
         return out
 
@@ -412,7 +415,7 @@ class Db:
     def _walk(self, ordered) -> Iterator[bytes]:
         for r in ordered:
             yield bytes(r["key"])
-            self.aspect.on_navigate(1)
+            self.aspect.on_next(1, 1)
 
     def setdefault(self, key: bytes, value: bytes) -> bytes:
         if key not in self:

@@ -68,3 +68,28 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = F.when(F.col("event_id") % 4 == 0, "merge").otherwise("user")
     e = read(spark, sf_dir, "events")
     return e.select(F.lit("events").alias("db"), (F.col("user_id") % 8).cast("string").alias("source"), F.col("event_id").alias("txn_id"), state.alias("state"), origin.alias("origin"))
+
+
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def compacted(spark: SparkSession, sf_dir: str, name: str):
+    """A database of the key-value table `name` of this module, compacted, so sorted by key: written once an application and folder."""
+    from keyloom.sources.store import Store
+
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _kept:
+        store = Store.in_memory(spark)
+        db = store.open(name)
+        db.put(binary(globals()[name](spark, sf_dir)))
+        db.compact()
+        _kept[at] = store.path
+    return Store(spark, _kept[at]).open(name)
+
+
+def binary(kv: DataFrame) -> DataFrame:
+    return kv.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("string").cast("binary").alias("value"))
+
+
+def text(kv: DataFrame) -> DataFrame:
+    return kv.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))

@@ -61,6 +61,39 @@ def test_movement(spark, name, cut):
     assert bytes(reads.first_kv(kv).first()["key"]) == ks[0] and bytes(reads.last_kv(kv).first()["key"]) == ks[-1]
 
 
+def test_a_null_value_is_a_record(spark):
+    kv = spark.createDataFrame([("a", "1"), ("b", None), ("c", "3")], "key string, value string")
+    probes = spark.createDataFrame([("a",), ("aa",), ("b",), ("bb",), ("d",)], "key string")
+    assert {r.key: (r.near_key, r.near_value) for r in reads.lower_bound(kv, probes).collect()} == {"a": ("a", "1"), "aa": ("b", None), "b": ("b", None), "bb": ("c", "3"), "d": (None, None)}
+    assert {r.key: r.near_key for r in reads.seek_prev(kv, probes, ["b"]).collect()} == {"a": None, "aa": "a", "b": "a", "bb": "b", "d": "c"}
+
+
+@pytest.mark.parametrize("borders", [7, 90])
+def test_ranges_follow_the_bytes(spark, borders):
+    """More bytes give more ranges, and any number of borders gives the same neighbours."""
+    kv = spark.range(3000).select(F.format_string("%06d", F.col("id") * 7).alias("key"), F.col("id").cast("string").alias("value"))
+    few, many = (reads.range_bounds(kv.select("key"), range_bytes=b) for b in (100_000, 1000))
+    assert len(few) < 8 and len(many) > 20 * max(len(few), 1) and many == sorted(many)
+    cut = many[:: max(1, len(many) // borders)]
+    probes = spark.range(0, 21_100, 13).select(F.format_string("%06d", "id").alias("key"), "id")
+    for strict, f in ((True, reads.seek_next), (False, reads.lower_bound)):
+        for r in f(kv, probes, cut).collect():
+            want = r.id // 7 * 7 + 7 if strict or r.id % 7 else r.id
+            assert r.near_key == (f"{want:06d}" if want < 21_000 else None)
+
+
+def test_probes_of_one_key_are_asked_once(spark, monkeypatch):
+    kv = spark.createDataFrame([(f"k{i:03d}", str(i)) for i in range(0, 200, 2)], "key string, value string")
+    probes = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "k101").otherwise(F.format_string("k%03d", F.col("id") % 200)).alias("key"), "id")
+    bounds = reads.range_bounds
+    monkeypatch.setattr(reads, "range_bounds", lambda keys: bounds(keys, range_bytes=20_000))
+    out = reads.seek_next(kv, probes)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert sorted(r.id for r in got) == list(range(4000)) and set(out.columns) == {"key", "id", "near_key", "near_value"}
+    assert all(r.near_key == ("k102" if r.key == "k101" else f"k{int(r.key[1:]) // 2 * 2 + 2:03d}" if int(r.key[1:]) < 198 else None) for r in got)
+
+
 def test_one_probe_after_a_miss(spark):
     kv = frame(spark, {k: k for k in SETS["backward"]})
     assert bytes(reads.prev_one(kv, bytearray(b"ad")).first()["key"]) == b"abcb"

@@ -57,6 +57,14 @@ def test_scan_is_pushed_down(spark, sf_dir, capsys):
     assert "TakeOrderedAndProject" in capsys.readouterr().out
 
 
+def test_scans_of_a_compacted_database_are_pushed_down(spark, sf_dir, capsys):
+    for name, pushed in (("stored_get_one", "EqualTo(key,"), ("stored_range_scan", "GreaterThanOrEqual(key,"), ("stored_prefix_scan", "LessThan(key,"), ("stored_scan_from_100", "GreaterThanOrEqual(key,")):
+        kv_queries.queries()[name](spark, sf_dir).explain("formatted")
+        plan = capsys.readouterr().out
+        filters = [line for line in plan.split("\n") if "PushedFilters" in line]
+        assert filters and all(pushed in f for f in filters) and "Exchange" not in plan, plan
+
+
 def test_long_values_come_back_whole(spark, tmp_path):
     values = ["v" * 5000, "é" * 1500, ""]
     spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
