@@ -452,6 +452,11 @@ def hash_levels(spark, sf_dir):
     return hashing.levels(t.orders(spark, sf_dir), [10, 8, 4])
 
 
+@query(f"SELECT * FROM ({BUCKETS}) WHERE prefix = '0000000001'")
+def hash_lookup(spark, sf_dir):
+    return hashing.lookup(hashing.level(t.orders(spark, sf_dir), 10), "0000000001")
+
+
 @query(BUCKETS.replace(ORDERS + " o", OTHER + " o"))
 def hash_update(spark, sf_dir):
     """Buckets brought up to date after changes, from the old ones."""

@@ -32,6 +32,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
+from datetime import timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,7 @@ KV = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value",
 DELETIONS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("deleted_at", T.TimestampType()), T.StructField("meta", T.BinaryType())])
 TXN = T.StructType([T.StructField(n, k) for n, k in (("db", T.StringType()), ("source", T.StringType()), ("txn_id", T.LongType()), ("state", T.StringType()), ("origin", T.StringType()), ("started", T.DoubleType()), ("ended", T.DoubleType()))])
 LEASE_SECONDS = 600.0
+TEXT_FORMATS = ("csv", "json")
 #: Manifest versions that stay for slow readers and writers.
 KEPT_VERSIONS = 100
 
@@ -161,14 +163,27 @@ class Store:
         rows = [(n, KINDS[Db(self, n).manifest["kind"]]) for n in self.files.names("") if self.files.exists(f"{n}/manifest")]
         return self.spark.createDataFrame(rows, "name string, type_id int")
 
+    def filename(self) -> str:
+        return self.path
+
     def file_size(self) -> int:
         return self.files.size()
 
-    def export_db(self, name: str, path: str) -> None:
-        Db(self, name).snapshot().write.mode("overwrite").parquet(path)
-
-    def import_db(self, name: str, path: str, kind: str = "plain") -> Db:
-        rows = self.spark.read.parquet(path)
+    def export_db(self, name: str, path: str, fmt: str = "parquet") -> None:
+        """Newest records as a table of any format that Spark writes; text formats get base64."""
+        rows = Db(self, name).snapshot()
+        if fmt in TEXT_FORMATS:
+            rows = rows.select(F.base64("key").alias("key"), F.base64("value").alias("value"))
+        rows.write.mode("overwrite").format(fmt).save(path)
+
+    def import_db(self, name: str, path: str, kind: str = "plain", fmt: str = "parquet") -> Db:
+        """A table of columns key and value as records; text formats hold base64."""
+        if fmt in TEXT_FORMATS:
+            # an empty value is an empty field, which readers may take for null
+            rows = self.spark.read.schema("key string, value string").format(fmt).load(path)
+            rows = rows.select(F.unbase64(F.coalesce("key", F.lit(""))).alias("key"), F.unbase64(F.coalesce("value", F.lit(""))).alias("value"))
+        else:
+            rows = self.spark.read.format(fmt).load(path)
         if not {"key", "value"} <= set(rows.columns):
             raise WrongValue("no key and value columns")
         db = self.open(name, kind)
@@ -257,8 +272,8 @@ class Db:
 
     # transactions --------------------------------------------------------------------------------------------------
 
-    def begin(self, source: str = "main", origin: str = "user", non_blocking: bool = True) -> Txn:
-        """One open transaction a database, or a source where the kind has many writers."""
+    def begin(self, source: str = "main", origin: str = "user", non_blocking: bool = True, wait_seconds: float = 60.0) -> Txn:
+        """One open transaction a database, or a source where the kind has many writers. While there is one: an error, or (blocking) a wait of up to wait_seconds."""
         if source != "main" and not self.multi:
             raise NotSupported("one writer only")
         if not self.aspect.before_start_transaction():
@@ -269,7 +284,15 @@ class Db:
                 raise TransactionActive(f"{self.name} {source}")
             return self._new_txn(m, source, "open", origin)
 
-        txn_id = self._change(start)
+        until = time.monotonic() + wait_seconds
+        while True:
+            try:
+                txn_id = self._change(start)
+                break
+            except TransactionActive:
+                if non_blocking or time.monotonic() >= until:
+                    raise
+                time.sleep(0.05)
         self.aspect.on_start_transaction(txn_id)
         return Txn(self, txn_id, source)
 
@@ -449,6 +472,11 @@ class Db:
         self._fold(build, "defrag")
         return tuple(seen)
 
+    def next_purge(self):
+        """When the oldest marker comes to its retention, or None without markers."""
+        oldest = self.deletions().agg(F.min("deleted_at")).first()[0]
+        return None if oldest is None else oldest + timedelta(seconds=self.manifest["retention"])
+
     def replica(self) -> replication.Replica:
         return replication.Replica(self._raw(), self.deletions())
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.errors import KeyTooBig, NotSupported, NoValidPosition, TransactionActive, TransactionLost, TypeMismatch, WrongValue
+from keyloom.errors import KeyTooBig, NotSupported, NoValidPosition, ReplicationFailed, TransactionActive, TransactionLost, TypeMismatch, WrongValue
 from keyloom.functions import codec
 from keyloom.functions.aspects import Aspect, Metrics
 from keyloom.operators import hashing, history, merging, reads, replication, trie
@@ -442,6 +442,69 @@ def test_writers_in_threads_get_unique_transactions(spark, store):
     assert len(set(ids)) == 12 and len(db) == 12 and all(db.check().values())
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "csv", "json"])
+def test_export_and_import(spark, store, fmt):
+    db = store.open("e")
+    db.put(frame(spark, {b"": b"", b"a\xff\n": b"x,\"y\"", b"b": b""}))
+    store.export_db("e", f"{store.path}-{fmt}", fmt)
+    assert rows(store.import_db("i", f"{store.path}-{fmt}", fmt=fmt).snapshot()) == rows(db.snapshot()) and store.filename() == store.path
+
+
+def test_begin_waits_for_the_other_writer(spark, store):
+    import threading
+
+    db, other = store.open("w"), store.open("w")
+    t = db.begin()
+    with pytest.raises(TransactionActive):
+        other.begin()
+    with pytest.raises(TransactionActive):
+        other.begin(non_blocking=False, wait_seconds=0.2)
+    threading.Timer(0.5, t.rollback).start()
+    assert other.begin(non_blocking=False, wait_seconds=20).rollback()
+
+
+def test_session_phases_and_codes(spark):
+    src, dst = replica(spark, {b"k0": b"new", b"k1": b"1"}, [b"k9"]), replica(spark, {b"k0": b"old", b"k9": b"2"})
+    seen, done, failed = [], [], []
+    _, report = replication.session(src, dst, on_progress=seen.append, on_complete=done.append)
+    assert [r["phase"] for r in seen] == ["deletions", "difference", "data"] and [r["records"] for r in seen] == [1, 1, 3] and seen[-1]["bytes"] == 2 + 4 + 4
+    assert (report["state"], report["code"], report["deleted"]) == ("idle", 0, 1) and done
+    for how, code in (({"mode": "none"}, "INVALID_STATE"), ({"max_bytes": 3}, "PAYLOAD_TOO_LARGE")):
+        with pytest.raises(ReplicationFailed) as e:
+            replication.session(src, dst, on_error=failed.append, **how)
+        assert e.value.code == code and failed[-1]["code"] == replication.ERRORS[code] and failed[-1]["state"] == "error"
+    with pytest.raises(ReplicationFailed, match="INVALID_MESSAGE"):
+        replication.session(replication.Replica(src.main.drop("value"), src.deletions), dst)
+
+
+def test_hooks_of_steps(spark, store):
+    class Steps(Aspect):
+        def __init__(self):
+            self.seen = []
+
+        def on_next(self, steps, hits):
+            self.seen.append(("next", steps, hits))
+
+        def on_prev(self, steps, hits):
+            self.seen.append(("prev", steps, hits))
+
+    a = Steps()
+    db = store.open("s", aspect=a)
+    db.put(frame(spark, {b"a": b"1", b"c": b"3"}))
+    db.seek_next(keys(spark, [b"a", b"b", b"c"]))
+    db.seek_prev(keys(spark, [b"a", b"b"]))
+    assert a.seen == [("next", 3, 2), ("prev", 2, 1)] and list(db) == [b"a", b"c"] and a.seen[2:] == [("next", 1, 1)] * 2
+
+
+def test_next_purge(spark, store):
+    db = store.open("np", "replicated")
+    db.put(frame(spark, {b"a": b"1"}))
+    assert db.next_purge() is None
+    db.delete(keys(spark, [b"a"]))
+    marked = db.deletions().first()["deleted_at"]
+    assert (db.next_purge() - marked).total_seconds() == replication.RETENTION_SECONDS
+
+
 def test_old_manifest_versions_go(spark, store):
     db = store.open("v")
     for i in range(130):
