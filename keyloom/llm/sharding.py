@@ -6,10 +6,12 @@ the other. A record's place in that sequence gives its shard and slot, so a buck
 few neighbouring ones.
 
 Each shard takes the same number of records, give or take one (law `rows`). No step collects records: the permutation of a
-bucket holds one integer a record, and buckets are bounded because their number follows the table's bytes.
+bucket holds one integer a record, and buckets are bounded because their number follows the table's bytes. Rows equal in id
+and text would all share a bucket; where one holds over `hot_rows` rows, such rows are scattered by their place in the
+input as well, over as many buckets as there are.
 
 Defined cases: a null text counts no bytes; null ids hash like any other value; repeated rows are kept, each with a slot of
-its own (equal rows share a bucket and are interchangeable); an empty table gives an empty result; columns named `shard`
+its own (equal rows are interchangeable); an empty table gives an empty result; columns named `shard`
 or `slot` in the input come back as `shard_in` and `slot_in`.
 """
 
@@ -27,7 +29,7 @@ def record_size(text_col: str = "text"):
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + RECORD_OVERHEAD).cast("long")
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 20240131, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 64 << 20, min_buckets: int = 256) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 20240131, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 64 << 20, min_buckets: int = 256, hot_rows: int = 1 << 20) -> DataFrame:
     """All columns of df plus `shard` (0 to shards-1) and `slot` (gapless from 0 in each shard)."""
     df = reserve(df, ("shard", "slot"))
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(record_size(text_col)), F.lit(0))).first()
@@ -36,6 +38,12 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 20240131, id_col
     scattered = df.withColumn("__h", hashed).withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(buckets)))
 
     counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    if n > hot_rows and counts.agg(F.max("__n")).first()[0] > hot_rows:
+        # a hash with so many rows is one row repeated; at most n / hot_rows of them
+        hot = scattered.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select("__h", F.lit(True).alias("__hot"))
+        place = F.when(F.col("__hot"), F.xxhash64(F.lit(seed + 2), F.monotonically_increasing_id())).otherwise(F.col("__h"))
+        scattered = scattered.join(F.broadcast(hot), "__h", "left").withColumn("__h", place).drop("__hot").withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(buckets)))
+        counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     # one row a bucket: the running sum needs them in one place, and their number is total bytes / bucket_bytes
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
