@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, pieces, sample_by_label, span_sums
-from keyloom.llm.common import reserve, ship
+from keyloom.llm.common import give_back, reserve, ship
 
 #: The branch of each language code. Codes not listed are families of their own.
 FAMILIES = {
@@ -181,6 +181,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     @F.arrow_udf(kind)
     def answer(text: pa.Array) -> pa.Array:
         lang, sure = shared.value.predict(text)
+        if text.nbytes > 1 << 20:
+            give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
     # only texts go to Python and only answers come back

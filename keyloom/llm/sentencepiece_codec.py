@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from keyloom.llm.bytescan import slices
-from keyloom.llm.common import ship
+from keyloom.llm.common import give_back, ship
 
 MARK = "▁"
 TEXT_BYTES = 4 << 20
@@ -407,6 +407,7 @@ def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col
             got = [c.digest(t or "") for t in b.column(1).to_pylist()]
             n, ids, dec, cov = zip(*got, strict=True) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string()), pa.array(cov, pa.int64())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_covered"])
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_covered long").withColumnRenamed("id", id_col)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, pieces, sample_by_label
-from keyloom.llm.common import ship
+from keyloom.llm.common import give_back, ship
 
 PREFIXES = (4, 5, 6, 7)
 PIECE = 1 << 20
@@ -327,5 +327,6 @@ def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             score, spans = shared.value.score(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(spans, kind)], [id_col, "score", "spans"])
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
