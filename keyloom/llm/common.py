@@ -84,6 +84,12 @@ def discard(spark: SparkSession, folder: str, *names: str) -> None:
         fs.delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cores if it is read from fewer files than there are cores, as a table of one file with one row group would keep a single core busy. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def give_back() -> None:
     """Return what a Python worker has freed to the machine: workers live on after a task, beside those of the next stage."""
     pa.default_memory_pool().release_unused()

@@ -24,9 +24,8 @@ different components. Components grow by contraction (hook to the smallest neigh
 Equal sets are one node from the start. Nothing is capped or sampled.
 
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing; one to four words are
-one shingle; repeated rows are copies; rows with a null id link only with
-equal sets; empty tables give empty
-results. Two different sets would only be taken for one if their 64-bit fingerprints met.
+one shingle; repeated rows are copies; rows with a null id link only with equal sets; columns other than id and text are not
+read, so clashing names do no harm; empty tables give empty results. Two different sets would only be taken for one if their 64-bit fingerprints met.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytescan import flat, slices
-from keyloom.llm.common import discard, give_back, join_hot, scratch, ship, stored, tables
+from keyloom.llm.common import discard, give_back, join_hot, scratch, ship, spread, stored, tables
 
 SMALL = 8
 KEY_BITS, MEMBER_BITS = 44, 20
@@ -357,12 +356,13 @@ def _reduced(id_type: pa.DataType):
     return run
 
 
-def _possible(edges: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Edges (a, b, ...) that their sketches (node, n, sketch) do not rule out."""
+def _possible(edges: DataFrame, sketches: DataFrame, folder: str, name: str) -> DataFrame:
+    """Edges (a, b, ...) that their sketches (node, n, sketch) do not rule out, as table `name`. The edges of a hot end stay where they are."""
     kept = edges.columns
+    edges = stored(edges, folder, f"{name}-raw")
     for x in "ab":
-        edges = edges.join(sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
-    edges = edges.select(*kept, "na", "nb", "sa", "sb")
+        edges = join_hot(edges, sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x, f"end{x}")
+    edges = edges.filter("sa is not null and sb is not null").select(*kept, "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(kept)
@@ -377,7 +377,9 @@ def _possible(edges: DataFrame, sketches: DataFrame) -> DataFrame:
 
     from pyspark.sql.types import StructType
 
-    return edges.mapInArrow(run, StructType([edges.schema[c] for c in kept]))
+    out = stored(edges.mapInArrow(run, StructType([edges.schema[c] for c in kept])), folder, name)
+    discard(edges.sparkSession, folder, f"{name}-raw")
+    return out
 
 
 # verification and components -------------------------------------------------------------------------------------------
@@ -387,7 +389,7 @@ def _sets_by_head(docs: DataFrame, members: DataFrame, edges: DataFrame, id_col:
     """(a, salt, role, tag, salts, node, shingles) for edges (a, b[, tag]): each head's set (role 0) comes before the sets at its edges' other ends (role 1). Hot heads are dealt out by salt."""
     edges = edges if "tag" in edges.columns else edges.withColumn("tag", F.lit(0).cast("long"))
     width_of = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    salted = edges.join(width_of, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    salted = join_hot(edges, width_of, "a", "head").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     ends = salted.select(F.col("b").alias("node"), "a", "salt", F.lit(1).alias("role"), "tag", "salts")
     heads = width_of.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("tag"), "salts")
     targets = ends.unionByName(heads).groupBy("node").agg(F.collect_list(F.struct("a", "salt", "role", "tag", "salts")).alias("targets"))
@@ -627,13 +629,13 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(id_field)
-    mapped = df.select(id_col, text_col).mapInArrow(_mapped(parts, id_type, width), f"kind int, part int, id {kind}, a long, b long, entries binary, nodes binary, slack binary")
+    mapped = spread(df.select(id_col, text_col)).mapInArrow(_mapped(parts, id_type, width), f"kind int, part int, id {kind}, a long, b long, entries binary, nodes binary, slack binary")
     reduced = mapped.repartition(parts, "part").mapInArrow(_reduced(id_type), f"kind int, id {kind}, a long, b long, c long, sketch binary")
     reduced.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/index")
     index = spark.read.schema(f"id {kind}, a long, b long, c long, sketch binary, kind int").parquet(f"{folder}/index")
     members = index.filter("kind = 0").select("id", F.col("a").alias("node"), F.col("b").alias("n"))
-    sketches = index.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.first("b").alias("n"), F.first("sketch").alias("sketch"))
-    edges = stored(_possible(index.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("w")), sketches), folder, "edges")
+    sketches = stored(index.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.first("b").alias("n"), F.first("sketch").alias("sketch")), folder, "sketches")
+    edges = _possible(index.filter("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("w")), sketches, folder, "edges")
     c = F.col("c")
     large = index.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("node"), F.shiftright(c, 32).alias("size"), F.shiftright(c, 16).bitwiseAND(0xFFFF).alias("band"), (c.bitwiseAND(0xFFFF) - 1).alias("slack"))
 
@@ -668,7 +670,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if spokes.limit(1).count():
         # once more a star, now to the busiest set, which copies with many edits are more likely to link to
         ordered = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-        star = stored(_possible(across(ordered), sketches), folder, "star3")
+        star = _possible(across(ordered), sketches, folder, "star3")
         links = links.union(stored(_verified(df, members, star, id_col, text_col, width), folder, "links3"))
         comps = components(links, folder, "comps3")
         tagged = spokes.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("tag")), "b", "left").withColumn("tag", F.coalesce("tag", "b"))
@@ -676,7 +678,7 @@ def link_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         spokes = stored(tagged.join(mixed, "a").select("a", "b", "tag"), folder, "spokes4")
     if spokes.limit(1).count():
         sure, pairs = _around_heads(df, members, spokes, id_col, text_col, width, family_rows, group_rows=group_rows)
-        pairs = stored(_possible(pairs, sketches), folder, "pairs4")
+        pairs = _possible(pairs, sketches, folder, "pairs4")
         links = links.union(sure).union(stored(_verified(df, members, pairs, id_col, text_col, width), folder, "links4"))
         # the heads' own edges were all verified above, or in an earlier round
         comps = components(links, folder, "comps4")
