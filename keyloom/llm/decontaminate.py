@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import lower_ascii, scratch, stored
+from keyloom.llm.common import lower_ascii, scratch, spread, stored
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,7 +55,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc
     parts = max(1, -(-(grams.agg(F.sum(size.cast("long"))).first()[0] or 0) // broadcast_bytes))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), words_of(F.col(text_col)).alias("ws"))
+    base = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), words_of(F.col(text_col)).alias("ws"))
     scanned = base.select("id", "tid", "ws", F.posexplode("ws").alias("p", "w"))
     start = F.col("p") - F.col("off")
     fits = F.col("anchor").isNotNull() & (start >= 0) & (start + F.col("len") <= F.size("ws"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import give_back, reserve, ship
+from keyloom.llm.common import give_back, reserve, ship, spread
 
 #: Fixed values of HTML: element names by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -469,4 +469,4 @@ def extract_texts(df: DataFrame, classifier: Classifier, html_col: str = "html")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, pieces, sample_by_label, span_sums
-from keyloom.llm.common import give_back, reserve, ship
+from keyloom.llm.common import give_back, reserve, ship, spread
 
 #: The branch of each language code. Codes not listed are families of their own.
 FAMILIES = {
@@ -186,4 +186,4 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
     # only texts go to Python and only answers come back
-    return df.withColumn("__answer", answer(F.col(text_col).cast("string"))).select(*df.columns, "__answer.lang_pred", "__answer.score")
+    return spread(df).withColumn("__answer", answer(F.col(text_col).cast("string"))).select(*df.columns, "__answer.lang_pred", "__answer.score")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import lower_ascii, reserve
+from keyloom.llm.common import lower_ascii, reserve, spread
 
 SPACE = " \t\n\x0b\f\r"
 LINES_PER_RANGE, SALTS = 1 << 16, 64
@@ -28,7 +28,7 @@ LINES_PER_RANGE, SALTS = 1 << 16, 64
 
 def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = lines.withColumn("key", F.btrim("line", F.lit(SPACE))).filter(F.char_length("key") >= min_chars)
     key = lower_ascii(F.col("key"))
     return keyed.select("id", "tid", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(77), key).alias("h2"))

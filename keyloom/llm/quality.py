@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, sample_by_label
-from keyloom.llm.common import give_back, ship
+from keyloom.llm.common import give_back, ship, spread
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
 BLOCK, PER_CHUNK, STRIDE = 64, 4, 2  # chunk: 4 blocks; a new one every 2
@@ -199,4 +199,4 @@ def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score_texts(*flat(b.column(1))), pa.float64())], [id_col, "score"])
         give_back()
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, schema)

@@ -12,7 +12,8 @@ holds, texts are cut there and the result of each distinct word is kept in a bou
 empty and white space is not squeezed, the source itself is cut, and each distinct word is normalised and aligned by itself.
 
 Defined cases: a null text is empty; an empty text has only the begin and end ids; very long texts are handled whole, in
-time n log n even without white space; repeated rows give equal rows; empty tables give empty results.
+time n log n even without white space; repeated rows give equal rows; columns other than id and text are not read, so clashing
+names do no harm; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from keyloom.llm.bytescan import slices
-from keyloom.llm.common import give_back, ship
+from keyloom.llm.common import give_back, ship, spread
 
 MARK = "▁"
 TEXT_BYTES = 4 << 20
@@ -409,7 +410,7 @@ def encode_digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string()), pa.array(cov, pa.int64())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_covered"])
         give_back()
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_covered long").withColumnRenamed("id", id_col)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes_covered long").withColumnRenamed("id", id_col)
 
 
 def encode_tokens(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,4 +434,4 @@ def encode_tokens(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
             many = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, many), pa.array(lo, many), pa.array(hi, many), pa.array(dec, pa.string())], ["id", "ids", "from_byte", "to_byte", "decoded"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, from_byte array<int>, to_byte array<int>, decoded string").withColumnRenamed("id", id_col)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"id {kind}, ids array<int>, from_byte array<int>, to_byte array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -15,7 +15,8 @@ Training uses a bounded sample: about `per_label` documents a label, none over `
 
 Defined cases: null and empty texts and texts without known words get the score of no evidence; rows without a label are
 not learned from; if only one label, or none, is seen, the score is that label's (else 0); long texts are read whole, in
-pieces; repeated rows get equal scores.
+pieces; repeated rows get equal scores; columns other than id, text and (in training) the label are not read, so clashing
+names do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytescan import flat, pieces, sample_by_label
-from keyloom.llm.common import give_back, ship
+from keyloom.llm.common import give_back, ship, spread
 
 PREFIXES = (4, 5, 6, 7)
 PIECE = 1 << 20
@@ -329,4 +330,4 @@ def tag(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(spans, kind)], [id_col, "score", "spans"])
         give_back()
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(df.select(id_col, text_col)).mapInArrow(run, schema)
