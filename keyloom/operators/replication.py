@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from keyloom.errors import ReplicationFailed
 from keyloom.operators import hashing, merging
+from keyloom.sources.shared import kept
 
 RETENTION_SECONDS = 86_400
 #: Digests compared before records are: at most this many rows of each side.
@@ -67,8 +68,9 @@ def apply(src: Replica, dst: Replica, policy: merging.Policy = merging.OVERWRITE
 
 
 def sync(a: Replica, b: Replica, policy: merging.Policy = merging.OVERWRITE, mode: str = "sticky") -> tuple[Replica, Replica]:
-    """Both ways: a to b, then b to a."""
+    """Both ways: a to b, then b to a. What b became is written once, as the way back reads it several times."""
     b2 = apply(a, b, policy, mode)
+    b2 = Replica(kept(b2.main), kept(b2.deletions))
     return apply(b2, a, policy, mode), b2
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -20,3 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.applicationId not in _local:
         _local[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="keyloom-")
     return _local[sc.applicationId]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back, for results that several steps use: lineage ends there. Deleted when the application ends."""
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    df.write.parquet(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)

@@ -130,8 +130,12 @@ class Store:
 
     @classmethod
     def in_memory(cls, spark: SparkSession) -> Store:
-        """A store in a folder of its own under the session's shared folder."""
-        return cls(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+        """A store in a folder of its own under the session's shared folder, deleted when the application ends."""
+        store = cls(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+        fs, path = store.files._at("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        return store
 
     def open(self, name: str, kind: str = "plain", aspect: Aspect | None = None) -> Db:
         if kind not in KINDS:
