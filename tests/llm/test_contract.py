@@ -163,3 +163,16 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(lang.predict(pa.array(texts))[1], [lang.predict(pa.array([t]))[1][0] for t in texts], atol=1e-6)
     assert html_extract.train([]).weights in ((0.5, 0.3), *html_extract.GRID)
     assert quality.Network().score_texts(*bytescan.flat(pa.array(texts))).shape == (42,)
+
+
+def test_few_files_are_dealt_over_the_cores(spark, tmp_path):
+    from keyloom.llm.common import spread
+
+    for files, parts in ((1, 4), (6, None)):
+        path = f"file://{tmp_path}/f{files}"
+        spark.range(1000).repartition(files).write.parquet(path)
+        df = spark.read.parquet(path)
+        out = spread(df)
+        assert out.rdd.getNumPartitions() == (parts or df.rdd.getNumPartitions()) and sorted(r.id for r in out.collect()) == list(range(1000))
+    made = spark.range(5)
+    assert spread(made) is made
