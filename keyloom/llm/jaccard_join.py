@@ -30,6 +30,7 @@ read, so clashing names do no harm; empty tables give empty results. Two differe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -239,6 +240,12 @@ def index_entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(members), np.concatenate(owner), np.concatenate(slack)
 
 
+def _id_hashes(ids: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(ids.type):
+        return ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.array([zlib.crc32(str(i).encode()) for i in ids.to_pylist()], np.uint64)
+
+
 # map and reduce ------------------------------------------------------------------------------------------------------
 
 
@@ -252,7 +259,8 @@ def _mapped(parts: int, id_type: pa.DataType, width: int):
                 node = np.array([fingerprint(s) for s in sets], np.int64)
                 n = np.array([len(s) for s in sets], np.int64)
                 rows = len(sets)
-                where = (mix(node.view(np.uint64), 8) >> U(32)).astype(np.int64) % parts
+                # documents are dealt by id, so that copies do not meet
+                where = (mix(_id_hashes(part.column(0)), 8) >> U(32)).astype(np.int64) % parts
                 none = pa.nulls(rows, pa.binary())
                 sketches = pa.array([odd_sketch(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, np.int32)), pa.array(where.astype(np.int32)), part.column(0), pa.array(node), pa.array(n), sketches, none, none], schema=schema)
