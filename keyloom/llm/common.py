@@ -104,7 +104,7 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, tag: str, least: int = 4096, share: int = 10_000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, tag: str, least: int = 512, share: int = 10_000) -> DataFrame:
     """left with right's columns, null where it has no row; right has one row a key, left any number.
 
     Keys with more than `least` and more than a `share`-th of left's rows are at most `share`: their rows of right are
