@@ -55,9 +55,10 @@ BAD_WORDS = set(
     "ad ads advert advertisement adverts adslot banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices alert "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail widget widgets related recommended trending share sharing social follow subscribe "
     "newsletter signup login footer header masthead comment comments disqus reply replies discussion responses pagination pager toolbar skip copyright legal "
-    "contentinfo complementary search".split()
+    "contentinfo complementary search adbox adsense adsbygoogle advertising advertorial promoted cookiebar cookiebanner alertbox topbar bottombar sidebars "
+    "sharebar relatedposts skiplink sitemap paywall subscription commentlist commentform".split()
 )
-REPLY_WORDS = {"comment", "comments", "disqus", "reply", "replies", "discussion", "responses"}
+REPLY_WORDS = {"comment", "comments", "commentlist", "commentform", "disqus", "reply", "replies", "discussion", "responses"}
 GOOD_WORDS = set("article articlebody content entry main maincontent post postbody story storybody text body".split())
 
 TOKEN = re.compile(
