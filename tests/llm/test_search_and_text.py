@@ -122,6 +122,27 @@ def test_main_path_normalises_each_distinct_cut(library):
     assert [x.tolist() for x in c.encode(text)] == [ids.tolist(), lo.tolist(), hi.tolist()]
 
 
+def test_new_words_are_merged_together(library):
+    rng = random.Random(3)
+    parts = ["on", "er", "th", "ción", "schü", "ß", "a", "aa", "é", "日", "😀", "x\0", "&&&", ".\n", "9", "Qu", "e" * 49, "  "]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(200)) for _ in range(20)] + ODD
+    for cache_size in (150_000, 50):  # the second is full again and again amid a text
+        c = sentencepiece_codec.Codec(queries.piece_model(), cache_size=cache_size)
+        alone, merge = [], c.merge
+        c.merge = lambda text, alone=alone, merge=merge: alone.append(text) or merge(text)
+        for t, (n, ids_sha256, decoded_sha256, covered) in zip(texts, c.digests(texts), strict=True):
+            ids, decoded = expected(library, t)
+            assert (n, ids_sha256, covered) == (len(ids), hashlib.sha256(struct.pack(f"<{n}I", *ids)).hexdigest(), len(t.encode()))
+            assert decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+        if cache_size > 50:  # one at a time: only words with unknown characters, long ones, and the few of texts with U+2581
+            assert not [w for w in alone if len(w) <= 48 and all(x in c.ids for x in w) and "▁" not in w[1:] and w not in " ".join(ODD).replace(" ", "▁")]
+            assert all(kept[2] is raw for raw, kept in c.words.items() if kept[2] == raw)
+    # ties: the leftmost of equal pairs first, as alone
+    m = sentencepiece_codec.Merges({"ab": 1.0, "bc": 1.0, "cd": 1.0, "abab": 0.5}, {s: i for i, s in enumerate(["ab", "bc", "cd", "abab", "a", "b", "c", "d"])})
+    ids, widths, counts = m.split(["abcd", "bcd", "ababab", "z"], np.array([*range(5), *range(4), *range(7), 0, 2]))
+    assert ids.tolist() == [0, 2, 1, 7, 3, 0, -1] and widths.tolist() == [2, 2, 2, 1, 4, 2, 2] and counts.tolist() == [2, 2, 2, 1]
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------------
 
 
