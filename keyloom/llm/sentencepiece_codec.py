@@ -38,7 +38,7 @@ from keyloom.llm.common import give_back, ship, spread
 
 MARK = "▁"
 TEXT_BYTES = 4 << 20
-TOGETHER = 1 << 15  # characters whose cuts are held at a time: few enough to stay in a core's cache
+TOGETHER = 1 << 15  # characters whose cuts are held at a time: side by side, as fast as twice that and faster than 32 times
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 IDS, WIDTHS, DECODED, COVERED = map(itemgetter, range(4))  # of what a word gives
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
